@@ -104,7 +104,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     h = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         h += words[k : n - width + 1 + k] * _PLACE[k % 64]
-    return mix(h + np.uint64(width) * np.uint64(0xA0761D6478BD642F))
+    return mix(h + np.uint64(width * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
 
 def batch_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

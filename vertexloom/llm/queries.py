@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, license_scan, url_filter
+from vertexloom.llm import bpe, license_scan, minhash, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -57,11 +57,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets are 85 per cent alike."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op4_license_scan": op4_license_scan,
         "op7_bpe": op7_bpe,
+        "op8_minhash_dedup": op8_minhash_dedup,
     }
 
 
