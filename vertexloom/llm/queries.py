@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, license_scan, minhash, url_filter
+from vertexloom.llm import bpe, decontaminate, license_scan, minhash, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -47,6 +47,11 @@ SELECT page_id, host, path, rule,
 FROM f LEFT JOIN k USING (page_id)""" % ", ".join(f"('{w}')" for w in url_filter.BLOCKED_HOST_WORDS)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 per cent or more of a benchmark item's five-word shingles, with the items."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and every line of a document, that is entirely a known licence text."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
+        "op3_decontaminate": op3_decontaminate,
         "op4_license_scan": op4_license_scan,
         "op7_bpe": op7_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
