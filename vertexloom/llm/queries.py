@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, decontaminate, license_scan, minhash, url_filter
+from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return f"{TOKENIZER_DIR}/{name}"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url under the five given rules; other urls get the verdict of the default block list."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.CONTRACT_RULES + url_filter.DEFAULT_RULES).select(
@@ -69,6 +74,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_license_scan": op4_license_scan,
