@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, url_filter
+from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, quality, toxicity, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -62,6 +62,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored for quality by a model of the labels outside the held-out fold."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -72,14 +77,21 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored for toxicity by a model of the labels outside the held-out fold."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_license_scan": op4_license_scan,
+        "op5_quality": op5_quality,
         "op7_bpe": op7_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_toxicity": op9_toxicity,
     }
 
 
