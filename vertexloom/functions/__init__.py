@@ -1 +1 @@
-"""Part of the vertexloom graph library."""
+"""Column functions of the graph library."""
