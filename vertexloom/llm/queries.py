@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, quality, toxicity, url_filter
+import corpus_pipeline
+from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, quality, suffix_dedup, toxicity, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -67,6 +68,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text covered by a 400-byte string that also starts elsewhere."""
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -82,6 +88,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -89,11 +100,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_license_scan": op4_license_scan,
         "op5_quality": op5_quality,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_bpe": op7_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_toxicity": op9_toxicity,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_license_scan": license_scan.oracle_sql()}
+    found = {"op2_url_filter": OP2_SQL, "op4_license_scan": license_scan.oracle_sql()}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
