@@ -13,7 +13,8 @@ conditions in the plan.  No Python runs on the executors.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,18 +38,19 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Generators of the model: (kind, pattern).
+#: Generators of the model: (kind, pattern, lower-case strings of which a matching text holds one; none: a digit).
 GENERATORS = [
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[a-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[a-z0-9-]{1,63}+){1,5}+"),
-    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]?[0-9]{2,4}[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("secret", r"(?i)(?<![a-z0-9])(?:token|api[_ -]?key|secret|password|passwd|pwd)[\"']?\s?[:=]\s?[\"']?[a-z0-9+/_.-]{8,256}+"),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[a-z0-9-]{1,63}+){1,5}+", ["[at]", "(at)"]),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ at [a-z0-9-]{1,63}+(?: dot [a-z0-9-]{1,63}+){1,5}+", [" dot "]),
+    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", []),
+    ("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]?[0-9]{2,4}[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])", []),
+    ("ssn", r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])", []),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", []),
+    ("secret", r"(?i)(?<![a-z0-9])(?:token|api[_ -]?key|secret|password|passwd|pwd)[\"']?\s?[:=]\s?[\"']?[a-z0-9+/_.-]{8,256}+", ["token", "key", "secret", "passw", "pwd"]),
 ]
 
-#: Quick tests that a text without any candidate fails.
-GATES = {"email": "@", "phone": "+"}
+#: Strings that a text with a base match holds; none: a digit.
+BASE_NEEDS = {"email": ["@"], "ip": [], "card": [], "phone": ["+"]}
 #: Context words by kind, looked for in the 40 characters before a candidate.
 CONTEXT = {
     "mail": "mail|contact|write|reach",
@@ -81,15 +83,19 @@ def _running(values: Column, join) -> Column:
     return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: join(x, F.get(acc, i - d))))
 
 
-def found(text: Column, kind: str, pattern: str) -> Column:
-    """All matches of a pattern as structs (kind, start, end, m), in code points, end exclusive."""
+def found(text: Column, kind: str, pattern: str, needs: list[str], low: Column) -> Column:
+    """All matches of a pattern as structs (kind, start, end, m), in code points, end exclusive.
+
+    A text without any of the strings that a match must hold is not searched;
+    ``low`` is the text in lower case.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), matches, lambda p, m: F.length(p) + F.length(m))
     ends = _running(lengths, lambda x, before: x + F.coalesce(before, F.lit(0)))
     spans = F.zip_with(ends, matches, lambda e, m: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
-    gate = text.contains(GATES[kind]) if pattern == BASE.get(kind) and kind in GATES else text.rlike(pattern)
-    return F.when(gate, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>"))
+    gate = reduce(or_, (low.contains(x) for x in needs)) if needs else F.col("_digit")
+    return F.when(gate & text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>"))
 
 
 def _passes(span: Column, kind: str) -> Column:
@@ -206,9 +212,10 @@ def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     trees, limits = model()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(*(F.filter(found(text, k, p), _checker(k)) for k, p in BASE.items()))
-    proposed = F.concat(*(found(text, k, p) for k, p in GENERATORS))
-    out = df.withColumns({"_base": base, "_proposed": proposed})
+    low = F.col("_low")
+    base = F.concat(*(F.filter(found(text, k, p, BASE_NEEDS[k], low), _checker(k)) for k, p in BASE.items()))
+    proposed = F.concat(*(found(text, k, p, needs, low) for k, p, needs in GENERATORS))
+    out = df.withColumns({"_low": F.lower(text), "_digit": text.rlike("[0-9]")}).withColumns({"_base": base, "_proposed": proposed}).drop("_low", "_digit")
     clear = F.filter("_proposed", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def selected(c: Column) -> Column:
