@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vertexloom.llm import bpe, decontaminate, license_scan, minhash, pii, quality, suffix_dedup, toxicity, url_filter
+from vertexloom.llm import bm25, bpe, decontaminate, license_scan, minhash, pii, quality, suffix_dedup, toxicity, url_filter
 from vertexloom.llm.common import table
 
 #: Where the public vocabulary files stand; callers of the operator pass their own path.
@@ -88,6 +88,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return bm25.top_k(docs, asked, 10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -104,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_bm25_topk": op10_bm25_topk,
         "pipeline": pipeline,
     }
 
