@@ -21,7 +21,8 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from vertexloom.llm.common import over_rows
 
 #: Words and fragments kept in each worker's caches; a full cache starts anew.
 CACHE = 400_000
@@ -224,7 +225,6 @@ def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     encoded, an empty table gives an empty result, other columns are ignored.  The
     vocabulary file must be readable under ``path`` on every executor.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
@@ -232,13 +232,12 @@ def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [c.encode(t or "") for t in pdf["_t"]]
             yield pd.DataFrame({id_col: pdf[id_col], "ids": [i.astype(np.int64) for i in ids], "decoded": [c.decode(i) for i in ids]})
 
-    return df.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {id_type}, ids array<bigint>, decoded string")
+    return over_rows(df, {id_col: id_col}, text_col, run, "ids array<bigint>, decoded string")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """As tokenize(), with ids and decoding reduced where they are made to n_tokens, ids_sha256 and decoded_sha256; ``keep`` names columns to pass on."""
     cols = [id_col, *(keep or [])]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
@@ -252,4 +251,4 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 b.append(sha(c.decode(ids).encode("utf-8")))
             yield pdf[cols].assign(n_tokens=pd.Series(n, dtype="int64"), ids_sha256=a, decoded_sha256=b)
 
-    return df.select(*cols, F.col(text_col).cast("string").alias("_t")).mapInPandas(run, schema)
+    return over_rows(df, {c: c for c in cols}, text_col, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

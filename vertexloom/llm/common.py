@@ -21,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Integers become decimal numbers in pandas where a batch has nulls, so ids of these types travel as text.
+INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+
+
+def over_rows(df: DataFrame, carry: dict[str, str], text_col: str, function, made: str) -> DataFrame:
+    """mapInPandas over whole texts (``_t``, null stays null) and carried columns, which keep their types exactly.
+
+    ``carry`` maps the columns' names in ``df`` to their names in the result;
+    ``made`` is the schema of what ``function`` adds.
+    """
+    kinds = {new: df.schema[old].dataType.simpleString() for old, new in carry.items()}
+    sent = [F.col(f"`{old}`").cast("string" if kinds[new] in INTEGERS else kinds[new]).alias(new) for old, new in carry.items()]
+    schema = ", ".join([*(f"`{c}` {'string' if k in INTEGERS else k}" for c, k in kinds.items()), made])
+    out = df.select(*sent, F.col(f"`{text_col}`").cast("string").alias("_t")).mapInPandas(function, schema)
+    return out.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in out.columns))
+
+
 def text_of(col: str = "text") -> Column:
     """A text column with nulls read as empty strings."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

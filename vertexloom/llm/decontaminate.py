@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import ALNUM, LOWER, batch_words, chunks, mix, shingle_hashes, word_spans
+from vertexloom.llm.common import ALNUM, LOWER, batch_words, chunks, mix, over_rows, shingle_hashes, word_spans
 
 SIZE = 5
 HASHES = 64
@@ -173,17 +173,18 @@ def contained(df: DataFrame, items: DataFrame, percent: int = 80, id_col: str =
     other columns are ignored, and an empty table on either side gives an empty
     result.
     """
-    kinds = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, n_common bigint, n_item bigint"
-    docs = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") > 0)
+    item_kind = items.schema[item_id].dataType.simpleString()
+    docs = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.length("_t") > 0)
     rows = items.select(F.col(item_id), F.col(item_text).cast("string").alias("_t")).where(F.length("_t") > 0)
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
     out = None
     for b in range(blocks):
         mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_id, "_t"), F.lit(blocks)) == b)
-        found = docs.mapInPandas(_finder([(r[0], r[1]) for r in mine.collect()], percent, id_col, item_id), kinds)
+        carried = [(None if r[0] is None else str(r[0]), r[1]) for r in mine.select(F.col(item_id).cast("string"), "_t").collect()]
+        found = over_rows(docs, {id_col: id_col}, "_t", _finder(carried, percent, id_col, item_id), f"`{item_id}` string, n_common bigint, n_item bigint")
         out = found if out is None else out.union(found)
-    return out
+    return out.withColumn(item_id, F.col(item_id).cast(item_kind))
 
 
 def _finder(items: list[tuple[object, str]], percent: int, id_col: str, item_id: str):
@@ -207,4 +208,4 @@ def _finder(items: list[tuple[object, str]], percent: int, id_col: str, item_id:
 def clean(df: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that hold no item; rows without an id are judged by no id and stay."""
     hit = contained(df, items, percent, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return df.join(hit, df[id_col] == hit["_hit"], "left_anti")
+    return df.join(hit, F.col(f"`{id_col}`") == F.col("_hit"), "left_anti")

@@ -94,7 +94,7 @@ def found(text: Column, kind: str, pattern: str, needs: list[str], low: Column)
     lengths = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), matches, lambda p, m: F.length(p) + F.length(m))
     ends = _running(lengths, lambda x, before: x + F.coalesce(before, F.lit(0)))
     spans = F.zip_with(ends, matches, lambda e, m: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
-    gate = reduce(or_, (low.contains(x) for x in needs)) if needs else F.col("_digit")
+    gate = reduce(or_, (low.contains(x) for x in needs)) if needs else F.col("_pii_digit")
     return F.when(gate & text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>"))
 
 
@@ -206,17 +206,17 @@ def model() -> tuple[boosting.Boosted, dict[str, float]]:
 
 
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``_base`` and ``_more``: arrays of (kind, start, end, m), each by kind and start.
+    """Add ``_pii_base`` and ``_pii_more``: arrays of (kind, start, end, m), each by kind and start.
 
     Null texts count as empty and have none.
     """
     trees, limits = model()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.col("_low")
+    low = F.col("_pii_low")
     base = F.concat(*(F.filter(found(text, k, p, BASE_NEEDS[k], low), _checker(k)) for k, p in BASE.items()))
     proposed = F.concat(*(found(text, k, p, needs, low) for k, p, needs in GENERATORS))
-    out = df.withColumns({"_low": F.lower(text), "_digit": text.rlike("[0-9]")}).withColumns({"_base": base, "_proposed": proposed}).drop("_low", "_digit")
-    clear = F.filter("_proposed", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = df.withColumns({"_pii_low": F.lower(text), "_pii_digit": text.rlike("[0-9]")}).withColumns({"_pii_base": base, "_pii_proposed": proposed}).drop("_pii_low", "_pii_digit")
+    clear = F.filter("_pii_proposed", lambda c: ~F.exists("_pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def selected(c: Column) -> Column:
         near = F.substring(text, F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40)))
@@ -225,7 +225,7 @@ def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
             limit = F.when(c["kind"] == k, F.lit(v)).otherwise(limit)
         return F.coalesce(trees.column(_features(c, near)) >= limit, F.lit(False))
 
-    return out.withColumn("_more", F.filter(clear, selected)).drop("_proposed")
+    return out.withColumn("_pii_more", F.filter(clear, selected)).drop("_pii_proposed")
 
 
 def _ordered(spans: Column) -> Column:
@@ -245,8 +245,8 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are ignored.
     """
     out = spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), "_t")
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(_ordered(F.col("_base"))), 256).alias("base_sha256"), _joined(_ordered(F.concat("_base", "_more"))).alias("spans"), F.size("_more").cast("long").alias("n_added"))
+    count = lambda k: F.size(F.filter("_pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(_ordered(F.col("_pii_base"))), 256).alias("base_sha256"), _joined(_ordered(F.concat("_pii_base", "_pii_more"))).alias("spans"), F.size("_pii_more").cast("long").alias("n_added"))
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -258,18 +258,18 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     cols = df.columns
     out = spans(df, text_col)
     text = F.col(text_col)
-    order = F.array_sort(F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    out = out.withColumn("_all", order)
-    out = out.withColumn("_till", _running(F.transform("_all", lambda s: s["end"]), lambda x, before: F.greatest(x, before)))
+    order = F.array_sort(F.transform(F.concat("_pii_base", "_pii_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    out = out.withColumn("_pii_all", order)
+    out = out.withColumn("_pii_till", _running(F.transform("_pii_all", lambda s: s["end"]), lambda x, before: F.greatest(x, before)))
 
     def piece(s: Column, i: Column) -> Column:
-        since = F.coalesce(F.get("_till", i - 1), F.lit(0))
+        since = F.coalesce(F.get("_pii_till", i - 1), F.lit(0))
         kept = F.substring(text, since + 1, F.greatest(s["start"] - since, F.lit(0)))
         return F.when(s["start"] < since, F.lit("")).otherwise(F.concat(kept, F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    last = F.coalesce(F.get("_till", F.size("_till") - 1), F.lit(0))
-    clean = F.concat(F.array_join(F.transform("_all", piece), ""), F.substring(text, last + 1, F.length(text)))
-    changed = F.when(F.size("_all") > 0, clean).otherwise(text)
-    out = out.withColumn("_clean", changed)
-    made = {text_col: F.col("_clean")} | ({length_col: F.length("_clean").cast(df.schema[length_col].dataType)} if length_col else {})
+    last = F.coalesce(F.get("_pii_till", F.size("_pii_till") - 1), F.lit(0))
+    clean = F.concat(F.array_join(F.transform("_pii_all", piece), ""), F.substring(text, last + 1, F.length(text)))
+    changed = F.when(F.size("_pii_all") > 0, clean).otherwise(text)
+    out = out.withColumn("_pii_clean", changed)
+    made = {text_col: F.col("_pii_clean")} | ({length_col: F.length("_pii_clean").cast(df.schema[length_col].dataType)} if length_col else {})
     return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in cols))

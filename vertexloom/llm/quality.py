@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import ALNUM, LOWER, SPACED, chunks, mix, span_hashes, word_spans
+from vertexloom.llm.common import ALNUM, LOWER, SPACED, chunks, mix, over_rows, span_hashes, word_spans
 from vertexloom.llm.labelled import fold, logistic, sample
 
 BUCKETS = 1 << 18
@@ -172,13 +172,12 @@ def hash_of(text: str) -> int:
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of every row; null texts count as empty, repeated rows are each scored, an empty table gives an empty result, other columns are ignored."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({id_col: pdf[id_col], "score": model.scores([(t or "").encode("utf-8", "surrogatepass") for t in pdf["_t"]])})
 
-    return df.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {kind}, score double")
+    return over_rows(df, {id_col: id_col}, text_col, run, "score double")
 
 
 def report(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:

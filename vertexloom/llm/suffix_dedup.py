@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import mix
+from vertexloom.llm.common import mix, over_rows
 from vertexloom.plans.runtime import Scratch
 
 LENGTH, GRAM = 400, 32
@@ -344,7 +344,6 @@ def _finish_shard(length: int, gram: int):
 
 def scan_rows(df: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     """id, key (128-bit digest), bytes, SHA-256 and anchors of every whole text; null counts as empty."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -352,7 +351,7 @@ def scan_rows(df: DataFrame, id_col: str, text_col: str, length: int, gram: int)
             found = [anchors(np.frombuffer(t, np.uint8), length, gram) for t in texts]
             yield pd.DataFrame({"_id": pdf["_id"], "key": [_digest_key(t) for t in texts], "n_bytes": [len(t) for t in texts], "sha": [hashlib.sha256(t).hexdigest() for t in texts], "at": [a for a, _ in found], "hash": [h.view(np.int64) for _, h in found]})
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"_id {kind}, key binary, n_bytes bigint, sha string, at array<bigint>, hash array<bigint>")
+    return over_rows(df, {id_col: "_id"}, text_col, run, "key binary, n_bytes bigint, sha string, at array<bigint>, hash array<bigint>")
 
 
 def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:

@@ -9,8 +9,6 @@ around it: quotation marks or reporting words make it a quotation, which counts
 little; exact, misspelt and quoted sums are weighed by a logistic fit.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
@@ -22,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.llm.common import over_rows
 from vertexloom.llm.labelled import fold, logistic, sample
 from vertexloom.plans.runtime import Scratch
 
@@ -264,7 +263,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     rows are each scored, an empty table gives an empty result, other columns are
     ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, w = Matcher(model.terms), np.asarray(model.weights)
@@ -273,7 +271,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pd.DataFrame({id_col: pdf[id_col], "score": p, "words": x[:, 0], "beginnings": x[:, 1], "misspelt": x[:, 2], "quoted": x[:, 3]})
 
-    return df.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {kind}, score double, words double, beginnings double, misspelt double, quoted double")
+    return over_rows(df, {id_col: id_col}, text_col, run, "score double, words double, beginnings double, misspelt double, quoted double")
 
 
 def report(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -283,13 +281,11 @@ def report(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, limit: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``limit``; the order of columns stays."""
-    model, schema = fit(docs, labels, id_col=id_col, text_col=text_col), docs.schema
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, w = Matcher(model.terms), np.asarray(model.weights)
-        least = math.log(limit / (1 - limit))
-        for pdf in batches:
-            keep = [w[0] + float(np.dot(features(t or "", m), w[1:])) < least for t in pdf[text_col]]
-            yield pdf[np.asarray(keep, bool)]
+        for part in texts:
+            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + float(np.dot(features(t or "", m), w[1:])))))) for t in part], dtype="float64")
 
-    return docs.mapInPandas(run, schema)
+    return docs.where(F.pandas_udf(run, "double")(F.col(f"`{text_col}`").cast("string")) < limit)
