@@ -34,7 +34,7 @@ def star_components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scrat
     scratch = scratch or Scratch(links.sparkSession, "stars")
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     first = scratch.put(ends)
-    edges, before, mark = first, None, None
+    edges = first
     for _ in range(MAX_ROUNDS):
         live = edges.where("u <> v")
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,13 +42,14 @@ def star_components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scrat
         tied = _tie(large)
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.put(small)
-        seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if before is not None:
-            scratch.drop(before)
-        before, edges = after, after
-        if mark == (seen["n"], seen["s"]):
+        if edges is not first:
+            scratch.drop(edges)
+        edges = after
+        # settled once every node has one root and no root has another
+        forked = edges.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+        chained = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+        if forked.union(chained).isEmpty():
             break
-        mark = (seen["n"], seen["s"])
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
