@@ -3,15 +3,21 @@
 1. Each distinct shingle set gets ``HASHES`` minima.  Bands of ``ROWS`` minima
    make candidate keys; of each minimum the low ``BITS`` bits are kept and packed
    into 64-bit words.  Equal sets are one node from here on.
-2. Within a band key every node is first held against the key's smallest node.
+2. Within a band key every node is first held against the key's hub, the node with
+   the smallest share of shingles that no other candidate holds.  Such shingles
+   are common to no pair, so their numbers bound every similarity; pairs that the
+   bound rules out are never formed.
    The similarity is estimated from the packed words: b-bit agreements are counted
    with bit counts and corrected for chance collisions.  Each node's best
-   candidate that the estimate does not rule out is confirmed on both full sets.
+   candidate that the estimate does not rule out is confirmed on both full sets,
+   then those of its other hubs that are still in another component.
 3. Links give components.  A key is open while its nodes lie in several
    components; in open keys, nodes outside the key's largest component are held
    against all nodes of other components, then retired, in rounds whose share
-   grows sixteenfold, until no key is open.  Pairs already connected are never
-   formed, so groups of thousands of copies cost a few comparisons a node, and no
+   grows sixteenfold, until no key is open.  Partners that share a rare shingle are
+   found through that shingle; against all others a node's rare shingles count as
+   not common, so a node far from its group forms no pairs with it.  Pairs already
+   connected are never formed, so groups of thousands of copies cost a few comparisons a node, and no
    link between different sets that share a key is lost.
 
 With 32 bands of 4 a pair of similarity 0.85 misses all keys with probability
@@ -29,11 +35,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import SPACED, batch_words, chunks, mix, shingle_hashes
+from vertexloom.llm.common import SPACED, batch_words, chunks, mix, over_rows, shingle_hashes
 from vertexloom.operators.stars import star_components
 from vertexloom.plans.runtime import Scratch
 
 HASHES, ROWS, BITS, SIZE = 128, 4, 4, 5
+#: A shingle of at most so many candidate sets is rare: pairs that share one are found through it.
+RARE = 8
+#: Nodes of a key that are held against the others in the first round, about; later rounds take sixteen times as many.
+FIRST_SHARE = 1024
 BANDS = HASHES // ROWS
 PER_WORD = 64 // BITS
 #: Lowest bit of every b-bit field.
@@ -90,7 +100,6 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[tuple[int, np.n
 
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
     """id, n (set size), node (128-bit digest of the set, null if empty), keys (band keys) and sig (packed words)."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,7 +112,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> Dat
                     n[i], node[i], keys[i], sig[i] = len(s), d, a, b
             yield pd.DataFrame({"_id": pdf["_id"], "n": n, "node": node, "keys": keys, "sig": sig})
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"_id {kind}, n bigint, node binary, keys array<bigint>, sig array<bigint>")
+    return over_rows(df, {id_col: "_id"}, text_col, run, "n bigint, node binary, keys array<bigint>, sig array<bigint>")
 
 
 def full_sets(df: DataFrame, text_col: str, size: int = SIZE) -> DataFrame:
@@ -162,21 +171,34 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
     rows = scratch.put(sketches(df, id_col, text_col, size))
     nodes = scratch.put(rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     member = nodes.select(F.explode("keys").alias("key"), "node")
-    hubs = member.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = scratch.put(member.join(hubs, "key").select("key", "node", "hub"))
-    light = nodes.select("node", "n", "sig")
-    wanted = members.select("node").distinct()
+    shared = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    together = scratch.put(member.join(shared, "key"))
+    wanted = scratch.put(together.select("node").distinct())
     named = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_r"), F.col("rep").isNull().alias("_none"))
     texts = df.select(F.col(id_col).alias("_r"), F.col(text_col).alias("_t"))
     chosen = texts.join(named.where("not _none"), "_r", "left_semi").select("_t").union(texts.where("_r is null").select("_t"))
     sets = scratch.put(full_sets(chosen, "_t", size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # shingles that no other candidate holds cannot be common to any pair
+    exploded = sets.select("node", F.explode("set").alias("s"))
+    alone = exploded.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sized = nodes.select("node", "n", "sig").join(wanted, "node", "left_semi").join(alone, "node", "left")
+    light = scratch.put(sized.select("node", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("open")).where(F.col("open") * 100 >= F.col("n") * percent))
+    fit = together.join(light.select("node", "n", "open"), "node")
+    hubs = fit.groupBy("key").agg(F.min_by("node", F.struct(-F.col("open") / F.col("n"), "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    members = scratch.put(fit.join(hubs, "key").select("key", "node", "n", "open", "hub"))
+    scratch.drop(together)
+
+    def possible(an: Column, ao: Column, bn: Column, bo: Column) -> Column:
+        """Whether sizes and shingles held alone leave room for a link."""
+        common = F.least(ao, bo)
+        return common * 100 >= (an + bn - common) * percent
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that neither their sizes nor the estimate rule out."""
-        x = pairs.join(light.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig")), "a")
-        x = x.join(light.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bsig")), "b")
-        x = x.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).withColumn("est", estimate("asig", "bsig"))
-        return x.where(F.col("est") >= least_estimate(percent)).select("a", "b", "an", "bn", "est")
+        x = pairs.join(light.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("open").alias("ao"), F.col("sig").alias("asig")), "a")
+        y = light.select(F.col("node").alias("_b"), F.col("n").alias("bn"), F.col("open").alias("bo"), F.col("sig").alias("bsig"))
+        x = x.join(y, (F.col("b") == F.col("_b")) & possible(F.col("an"), F.col("ao"), F.col("bn"), F.col("bo")))
+        return x.withColumn("est", estimate("asig", "bsig")).where(F.col("est") >= least_estimate(percent)).select("a", "b", "an", "bn", "est")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -186,27 +208,44 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
         return x.where(common * 100 >= (F.col("an") + F.col("bn") - common) * percent).select("a", "b")
 
     star = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    best = likely(star).groupBy("a").agg(F.max_by(F.struct("b", "an", "bn"), "est").alias("x")).select("a", "x.*")
-    links = scratch.put(confirmed(best))
-    component = scratch.put(star_components(links, scratch=scratch))
-    share, active = 16, members.select("key", "node")
+    hopeful = scratch.put(likely(star))
+    best = hopeful.groupBy("a").agg(F.max_by(F.struct("b", "an", "bn"), "est").alias("x")).select("a", "x.*")
+    component = scratch.put(star_components(confirmed(best), scratch=scratch))
+    # hubs that are not yet in the node's component
+    of = component.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+    apart = hopeful.join(of, F.col("a") == F.col("_i"), "left").select("a", "b", "an", "bn", F.coalesce("_c", "a").alias("ac"))
+    apart = apart.join(of, F.col("b") == F.col("_i"), "left").where(F.col("ac") != F.coalesce("_c", "b")).select("a", "b", "an", "bn")
+    found = scratch.put(confirmed(apart))
+    if not found.isEmpty():
+        component = scratch.put(_joined(component, found, scratch))
+    share, active = FIRST_SHARE, members.select("key", "node", "n", "open")
     while True:
         state = active.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         per = state.groupBy("key", "component").agg(F.count("*").alias("c"))
         keys = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("total"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
         chance = F.lit(float(share)) / (F.col("total") - F.col("most"))
         drawn = F.pmod(F.xxhash64("node", "key", F.lit(share)), F.lit(1 << 30)) / float(1 << 30)
-        opened = scratch.put(state.join(keys.select("key", "major", "total", "most"), "key").select("key", "node", "component", ((F.col("component") != F.col("major")) & (drawn < chance)).alias("lead")))
+        opened = scratch.put(state.join(keys, "key").select("key", "node", "n", "open", "component", ((F.col("component") != F.col("major")) & (drawn < chance)).alias("lead")))
+        if share > FIRST_SHARE:
+            scratch.drop(active)
         if opened.isEmpty():
             break
-        lead = opened.where("lead").select("key", F.col("node").alias("a"), F.col("component").alias("ac"))
-        rest = opened.select("key", F.col("node").alias("b"), F.col("component").alias("bc"))
-        pairs = lead.join(rest, "key").where("ac <> bc").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        lead = opened.where("lead").select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("n").alias("un"), F.col("open").alias("uo"), F.col("component").alias("uc"))
+        own = sets.join(lead.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.explode("set").alias("s"))
+        held = exploded.join(own.select("s").distinct(), "s", "left_semi")
+        rare = scratch.put(held.join(held.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("s"), "s"))
+        mine = rare.join(lead.select("u").distinct(), F.col("node") == F.col("u")).select("u", "s")
+        by_rare = mine.join(rare, "s").where("u <> node").select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
+        few = mine.groupBy(F.col("u").alias("_u")).agg(F.count("*").alias("few"))
+        lead = lead.join(few, F.col("u") == F.col("_u"), "left").withColumn("uo", F.least("uo", F.col("un") - F.coalesce("few", F.lit(0)))).drop("_u", "few")
+        room = possible(F.col("un"), F.col("uo"), F.col("n"), F.col("open")) & (F.col("uc") != F.col("component")) & (F.col("u") != F.col("node"))
+        by_key = lead.join(opened, (F.col("k") == F.col("key")) & room).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
+        pairs = by_rare.union(by_key).distinct()
         found = scratch.put(confirmed(likely(pairs)))
+        active = scratch.put(opened.where("not lead").select("key", "node", "n", "open"))
+        scratch.drop(opened, rare)
         if not found.isEmpty():
-            links = links.union(found)
-            component = scratch.put(star_components(links, scratch=scratch))
-        active = opened.where("not lead").select("key", "node")
+            component = scratch.put(_joined(component, found, scratch))
         share *= 16
     place = nodes.select("node", "rep").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = place.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -216,6 +255,17 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("_id") == own, own.isNull()).alias("kept"))
 
 
+def _joined(component: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after more links: only the links between components are worked on."""
+    of = component.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+    ends = links.join(of, F.col("a") == F.col("_i"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    ends = ends.join(of, F.col("b") == F.col("_i"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+    moved = scratch.put(star_components(ends, scratch=scratch)).select(F.col("id").alias("_f"), F.col("component").alias("_t"))
+    named = component.join(moved, F.col("component") == F.col("_f"), "left").select("id", F.coalesce("_t", "component").alias("component"))
+    fresh = moved.join(component.select(F.col("id").alias("_f")), "_f", "left_anti").select(F.col("_f").alias("id"), F.col("_t").alias("component"))
+    return named.union(fresh)
+
+
 def deduplicate(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without near copies: of each component the document with the smallest id stays.
 
