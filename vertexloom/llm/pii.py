@@ -67,14 +67,14 @@ TLD = r"(?i)(dot|\.) ?(com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu)$"
 FEATURES = [*(f"is_{k}" for k in KINDS), "length", "digits", "letters", "separators", "distinct", "luhn", "year", "marked", "tld", *(f"near_{k}" for k in CONTEXT)]
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes Luhn."""
+    """Whether a string of digits passes Luhn; other strings and the empty one do not."""
 
     def step(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
+        d = F.substring(digits, i, F.lit(1)).try_cast("int")
         double = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
         return total + F.when((F.length(digits) - i) % 2 == 0, d).otherwise(double)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), step) % 10 == 0
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), step) % 10 == 0, F.lit(False))
 
 
 def _running(values: Column, join) -> Column:
