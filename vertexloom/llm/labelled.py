@@ -25,11 +25,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
     return rows.join(drawn, "_i").select("_t", "_y")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, signed: bool = True) -> np.ndarray:
     """Weights (the first is the bias) of a logistic fit by Newton steps, drawn towards ``prior``.
 
-    Without rows, or where all have one label, the prior's weights stand almost alone.
+    Without rows, or where all have one label, the prior's weights stand almost
+    alone.  Unless ``signed``, features that would get a negative weight get none.
     """
+    if not signed:
+        kept = np.ones(len(prior), bool)
+        while True:
+            w = np.zeros(len(prior))
+            w[kept] = logistic(x[:, kept[1:]], y, prior[kept], strength)
+            if not (w[1:] < 0).any():
+                return w
+            kept[1:] &= w[1:] > 0
     z = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, len(prior)))
     w, pull = prior.astype(float).copy(), np.full(len(prior), strength)
     for _ in range(50):

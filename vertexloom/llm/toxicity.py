@@ -11,6 +11,7 @@ little; exact, misspelt and quoted sums are weighed by a logistic fit.
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,13 +28,13 @@ from vertexloom.plans.runtime import Scratch
 #: Labelled rows that lexicon and weights are learnt from, at most about so many.
 TRAIN_ROWS = 20_000
 #: Terms in the lexicon and candidate terms counted, at most.
-MAX_TERMS, MAX_CANDIDATES = 5_000, 200_000
+MAX_TERMS, MAX_CANDIDATES = 2_000, 200_000
 #: Least logarithm of the likelihood ratio of a term.
 LEAST_WEIGHT = math.log(5)
 #: Words on each side of a hit that its window holds.
 WINDOW = 6
 #: Words whose result a worker remembers; a full memory starts anew.
-CACHE = 300_000
+CACHE = 60_000
 #: Weights (bias, words, beginnings, misspelt, quoted) that the fit is drawn to.
 PRIOR = np.array([-4.0, 3.5, 1.0, 1.5, 0.2])
 #: What a text's hits of one kind add up to at most, and how often one term counts in a text.
@@ -178,23 +179,43 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, float, float]:
     return tuple(min(x, MOST_WEIGHT) / 5 for x in sums)
 
 
-def _terms(text: str) -> set[str]:
-    """Distinct words of a text, marked by a trailing blank, and their beginnings of 3 to 12 characters."""
-    words = {TRIM.sub("", w) for w in set(text.lower().split())}
-    return {w + " " for w in words if len(w) > 2} | {w[:k] for w in words for k in range(3, min(len(w), 12) + 1)}
+def _terms(text: str) -> dict[str, int]:
+    """Distinct words of a text, marked by a trailing blank, and their beginnings of 3 to 12 characters.
+
+    Each comes with one bit of 64 for every word that stands before it.
+    """
+    out: dict[str, int] = {}
+    before = ""
+    for w in text.lower().split():
+        w, bit = TRIM.sub("", w), 1 << (zlib.crc32(before.encode("utf-8", "surrogatepass")) & 63)
+        before = w
+        if len(w) > 2:
+            for t in (w + " ", *(w[:k] for k in range(3, min(len(w), 12) + 1))):
+                out[t] = out.get(t, 0) | bit
+    return out
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """Texts that hold each term; ``wanted`` limits the terms."""
+    """(term, n, mask): texts that hold each term, and the bits of the words before it; ``wanted`` limits the terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c: Counter[str] = Counter()
+            n: Counter[str] = Counter()
+            masks: dict[str, int] = {}
             for t in pdf["_t"]:
-                c.update(_terms(t) if wanted is None else _terms(t) & wanted)
-            yield pd.DataFrame({"term": list(c.keys()), "n": list(c.values())})
+                for term, mask in _terms(t).items():
+                    if wanted is None or term in wanted:
+                        n[term] += 1
+                        masks[term] = masks.get(term, 0) | mask
+            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "mask": np.array([masks[t] for t in n], np.uint64).view(np.int64)})
+
+    return rows.select("_t").mapInPandas(run, "term string, n bigint, mask bigint").groupBy("term").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
+
 
-    return rows.select("_t").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+def _apart(n: int, mask: int) -> float:
+    """Texts that count: copies of one text hold a term in one place, so no more than the distinct words before it, by linear counting."""
+    bits = (mask & (2**64 - 1)).bit_count()
+    return float(n) if bits >= 60 else min(float(n), -64 * math.log(1 - bits / 64))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, tuple[bool, float]]:
@@ -207,7 +228,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, tuple[bool, float]]:
     if not toxic or not clean:
         return {}
     least = max(3, toxic // 100)
-    bad = {r["term"]: r["n"] for r in _counted(rows.where("_y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
+    spread = (F.bit_count("mask") >= 60) | (-64 * F.log(1 - F.least(F.bit_count("mask"), F.lit(63)) / 64) >= least)
+    seen = _counted(rows.where("_y = 1"), None).where((F.col("n") >= least) & spread)
+    bad = {r["term"]: _apart(r["n"], r["mask"]) for r in seen.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
     good = {r["term"]: r["n"] for r in _counted(rows.where("_y = 0"), set(bad)).collect()}
     rate = {t: math.log((bad[t] + 0.5) / (toxic + 1)) - math.log((good.get(t, 0) + 0.5) / (clean + 1)) for t in bad}
     marks = {t for t in bad if rate[t] >= LEAST_WEIGHT}
@@ -253,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, bound
 
     seen = rows.mapInPandas(run, "x0 double, x1 double, x2 double, x3 double, y double").toPandas()
     scratch.drop(rows)
-    return Model(terms, [float(w) for w in logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(float), seen["y"].to_numpy(float), PRIOR, 1.0)])
+    return Model(terms, [float(w) for w in logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(float), seen["y"].to_numpy(float), PRIOR, 1.0, signed=False)])
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
