@@ -165,3 +165,8 @@ def phases(*runs: Callable[[], bool]) -> int:
         if phase() is False:
             return k
     return len(runs)
+
+
+def partition_counts(messages: DataFrame) -> DataFrame:
+    """(partition, messages): how many messages each partition holds, the per-worker account of a superstep."""
+    return messages.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("messages"))
