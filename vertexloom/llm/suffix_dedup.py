@@ -34,7 +34,9 @@ from vertexloom.plans.runtime import Scratch
 
 LENGTH, GRAM = 400, 32
 #: Bytes of candidate text in a shard, and windows in a range of the merge, about.
-SHARD, RANGE = 4 << 20, 1 << 20
+SHARD, RANGE = 3 << 19, 1 << 20
+#: Ids of wanted texts that may be broadcast; a longer list joins by shuffle.
+SMALL_LIST = 500_000
 #: Odd multipliers of the two window digests.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,61 +94,58 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key |= padded[j : n + j] << np.uint64(56 - 8 * j)
-    order = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    slots, ties, h = np.arange(n), key[order], 8
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    at, slots, ties, h = order, np.arange(n, dtype=np.int32), key[order], 8
     while True:
         new = np.append(True, ties[1:] != ties[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))
-        rank[order[slots]] = slots[head]
-        alone = new & np.append(new[1:], True)
-        slots = slots[~alone]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(ties)))
+        rank[at] = np.repeat(slots[begin], size)
+        tied = np.repeat(size > 1, size)
+        slots, at = slots[tied], at[tied]
         if not len(slots):
             return order, rank, key
-        at = order[slots]
-        after = at + h
+        after = at.astype(np.int64) + h
         # what begins beyond the end comes first, the shorter the earlier
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + h, n - at - 1 if h > n else np.minimum(n - at, h) - 1)
+        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + np.int64(h), np.minimum(n - at, h) - 1)
         both = rank[at] * np.int64(n + h) + follow
         sort = np.argsort(both)
-        order[slots] = at[sort]
-        ties = both[sort]
+        at, ties = at[sort], both[sort]
+        order[slots] = at
         h *= 2
 
 
 def common_prefixes(raw: np.ndarray, order: np.ndarray, rank: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in order, by Kasai's rule."""
     n = len(raw)
-    prior = np.empty(n, np.int64)
+    prior = np.empty(n, np.int32)
     prior[order[0]] = -1
     prior[order[1:]] = order[:-1]
     first = np.ones(n, bool)
     inner = (prior[1:] > 0) & (prior[:-1] >= 0)
-    first[1:][inner] = raw[:-1][inner] != raw[np.maximum(prior[1:] - 1, 0)][inner]
+    first[1:][inner] = raw[:-1][inner] != raw[prior[1:][inner] - 1]
     at = np.flatnonzero(first)
     size = np.zeros(len(at), np.int64)
     live = np.flatnonzero(prior[at] >= 0)
-    a, b = at[live], prior[at[live]]
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    off = 0
+    # beyond the end stand zeros; what they add to a prefix is cut off below
+    words = np.concatenate([key, np.zeros(1, np.uint64)])
+    a, b, off = at[live], prior[at[live]].astype(np.int64), 0
     while len(live):
-        inside = np.maximum(a, b) + off + 8 <= n
-        same = np.zeros(len(live), bool)
-        same[inside] = key[a[inside] + off] == key[b[inside] + off]
-        ended = ~same
+        apart = words[np.minimum(a + off, n)] ^ words[np.minimum(b + off, n)]
+        over = np.maximum(a, b) + off + 8 > n
+        ended = (apart != 0) | over
         if ended.any():
-            x, y, more = a[ended] + off, b[ended] + off, np.ones(int(ended.sum()), bool)
-            got = np.zeros(len(x), np.int64)
-            for j in range(8):
-                more &= (np.maximum(x, y) + j < n) & (padded[np.minimum(x + j, n)] == padded[np.minimum(y + j, n)])
-                got += more
-            size[live[ended]] = off + got
-            live, a, b = live[same], a[same], b[same]
+            # equal leading bytes of the eight: the highest bit set in the difference tells
+            x = apart[ended]
+            same = np.full(len(x), 8, np.int64)
+            odd = x != 0
+            same[odd] = (63 - np.floor(np.log2(x[odd].astype(np.longdouble))).astype(np.int64)) // 8
+            size[live[ended]] = np.minimum(off + same, n - np.maximum(a, b)[ended])
+            live, a, b = live[~ended], a[~ended], b[~ended]
         off += 8
-    lead = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    known = np.zeros(n, np.int64)
-    known[at] = size
-    return np.maximum(known[lead] - (np.arange(n) - lead), 0)
+    begin = np.diff(np.append(at, n))
+    return np.maximum(np.repeat(size + at, begin) - np.arange(n), 0)
 
 
 def repeated_starts(raw: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
@@ -195,9 +194,9 @@ def _segments(pdf: pd.DataFrame, length: int, gram: int):
         for a, b in zip(*_near(np.asarray(at, np.int64), len(raw), length - gram, length), strict=True):
             if b - a >= length:
                 parts += [raw[a:b], np.zeros(1, np.uint8)]
-                left += [np.arange(b - a, -1, -1)]
-                row.append(np.full(b - a + 1, i))
-                place.append(np.arange(a, b + 1))
+                left += [np.arange(b - a, -1, -1, dtype=np.int32)]
+                row.append(np.full(b - a + 1, i, np.int32))
+                place.append(np.arange(a, b + 1, dtype=np.int32))
     if not parts:
         return None
     return np.concatenate(parts), np.concatenate(left), np.concatenate(row), np.concatenate(place)
@@ -221,8 +220,8 @@ def _search_shard(length: int, gram: int, ranges: int):
     """Stage of one shard: matched places of each text, waiting windows, and digest lists by range."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", ignore_index=True)
         shard, rows = int(pdf["shard"].iloc[0]), []
+        pdf = _own_texts(pdf)
         found = _segments(pdf, length, gram)
         if found is None:
             return pd.DataFrame(rows, columns=["shard", "key", "starts", "ends", "waits", "wait_ends", "part", "d64", "d32", "known"])
@@ -319,10 +318,13 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
 def _finish_shard(length: int, gram: int):
     """Last stage of one shard: removed runs and what is kept of each text."""
 
-    def run(texts: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        found = np.sort(np.concatenate([np.frombuffer(h, "S13") for h in hits["hits"]])) if len(hits) else np.zeros(0, "S13")
-        rows = []
-        for text, key, starts, ends, waits, wait_ends in zip(*(texts[c] for c in ("text", "key", "starts", "ends", "waits", "wait_ends")), strict=True):
+    def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        hits = [h for h in told["hits"] if h is not None]
+        found = np.sort(np.concatenate([np.frombuffer(h, "S13") for h in hits])) if hits else np.zeros(0, "S13")
+        marks, rows = told[told["key"].notna()], []
+        text_of = {bytes(k): t for k, t in zip(texts["key"], texts["text"], strict=True) if _digest_key(bytes(t)) == bytes(k)}
+        for key, starts, ends, waits, wait_ends in zip(*(marks[c] for c in ("key", "starts", "ends", "waits", "wait_ends")), strict=True):
+            text = text_of[bytes(key)]
             raw, gone = np.frombuffer(text, np.uint8), np.zeros(len(text), bool)
             for a, b in zip(starts, ends, strict=True):
                 gone[a:b] = True
@@ -342,6 +344,17 @@ def _finish_shard(length: int, gram: int):
     return run
 
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"key": [_digest_key(bytes(t)) for t in pdf["text"]], "text": pdf["text"]})
+
+
+def _own_texts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose text has the row's key, each key once: an id that names several texts brings all of them."""
+    right = [_digest_key(bytes(t)) == bytes(k) for t, k in zip(pdf["text"], pdf["key"], strict=True)]
+    return pdf[np.asarray(right, bool)].drop_duplicates("key").sort_values("key", ignore_index=True)
+
+
 def scan_rows(df: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     """id, key (128-bit digest), bytes, SHA-256 and anchors of every whole text; null counts as empty."""
 
@@ -364,11 +377,17 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     scratch = Scratch(df.sparkSession, "suffix")
     gram = min(gram, length)
-    rows = scratch.put(scan_rows(df, id_col, text_col, length, gram))
-    texts = scratch.put(rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("copies"), F.min("_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("at").alias("at"), F.first("hash").alias("hash")))
-    pairs = texts.select("key", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.hash").alias("hash"))
+    scanned = scratch.put(scan_rows(df, id_col, text_col, length, gram))
+    rows = scratch.put(scanned.select("_id", "key", "n_bytes", "sha"))
+    texts = scratch.put(rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("copies"), F.min("_id").alias("rep"), F.first("n_bytes").alias("n_bytes")))
+    # the anchors of one row of each text; more rows where an id repeats only bring more candidates
+    named = texts.select(F.col("key").alias("_k"), "rep")
+    once = scanned.join(named, (F.col("key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", F.explode(F.arrays_zip("at", "hash")).alias("x"))
+    pairs = scratch.put(once.select("key", F.col("x.at").cast("int").alias("at"), F.col("x.hash").alias("hash")))
+    scratch.drop(scanned)
     again = pairs.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     held = scratch.put(pairs.join(again, "hash"))
+    scratch.drop(pairs)
     chosen = held.groupBy("key").agg(F.min("hash").alias("lead"), F.count("*").alias("n")).join(texts.select("key", "n_bytes", "rep"), "key")
     # what a text brings to a shard is at most its bytes, and at most all surroundings of its anchors
     chosen = scratch.put(chosen.withColumn("weight", F.least("n_bytes", F.col("n") * (2 * length - gram))))
@@ -380,21 +399,23 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     placed = held.join(dealt.select("key", "shard"), "key")
     far = placed.groupBy("hash").agg((F.min("shard") != F.max("shard")).alias("far"))
     listed = placed.join(far, "hash").groupBy("key", "shard").agg(F.collect_list("at").alias("at"), F.filter(F.collect_list(F.when(F.col("far"), F.col("at"))), lambda x: x.isNotNull()).alias("far"))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["_t"]]
-            yield pd.DataFrame({"key": [_digest_key(t) for t in data], "text": data})
-
-    source = df.select(F.col(id_col).alias("_r"), F.col(text_col).cast("string").alias("_t"))
-    mine = source.join(dealt.where("rep is not null").select(F.col("rep").alias("_r")).distinct(), "_r", "left_semi").union(source.where("_r is null"))
-    bodies = mine.select("_t").mapInPandas(keyed, "key binary, text binary").dropDuplicates(["key"])
-    work = scratch.put(bodies.join(listed, "key"))
+    listed = scratch.put(listed.join(dealt.select("key", "rep"), "key"))
+    scratch.drop(held, chosen)
+    source = df.select(F.col(id_col).alias("_r"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    # texts that no shard wants are left out before they are shuffled, as long as the list of wanted ids is small
+    if dealt.count() <= SMALL_LIST:
+        source = source.join(F.broadcast(dealt.select(F.col("rep").alias("_w")).distinct()), F.col("_r").eqNullSafe(F.col("_w")), "left_semi")
+    mine = source.join(listed, F.col("_r") == F.col("rep")).select("shard", "key", "text", "at", "far")
+    if not (nameless := listed.where("rep is null")).isEmpty():
+        mine = mine.union(source.where("_r is null").mapInPandas(_keyed, "key binary, text binary").dropDuplicates(["key"]).join(nameless, "key").select("shard", "key", "text", "at", "far"))
+    work = scratch.put(mine)
     schema = "shard bigint, key binary, starts array<bigint>, ends array<bigint>, waits array<bigint>, wait_ends array<bigint>, part int, d64 binary, d32 binary, known boolean"
     found = scratch.put(work.groupBy("shard").applyInPandas(_search_shard(length, gram, ranges), schema))
     hits = found.where("part >= 0").select("part", "shard", "d64", "d32", "known").groupBy("part").applyInPandas(_merge_range, "shard bigint, hits binary")
-    matched = found.where("part < 0").select("shard", "key", "starts", "ends", "waits", "wait_ends").join(work.select("key", "text"), "key")
-    done = matched.groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(_finish_shard(length, gram), "key binary, n_removed bigint, starts array<bigint>, ends array<bigint>, kept_sha256 string")
+    marks = found.where("part < 0").select("shard", "key", "starts", "ends", "waits", "wait_ends", F.lit(None).cast("binary").alias("hits"))
+    told = hits.select("shard", F.lit(None).cast("binary").alias("key"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("starts", "ends", "waits", "wait_ends")), "hits")
+    done = scratch.put(work.select("shard", "key", "text").groupBy("shard").cogroup(marks.union(told).groupBy("shard")).applyInPandas(_finish_shard(length, gram), "key binary, n_removed bigint, starts array<bigint>, ends array<bigint>, kept_sha256 string"))
+    scratch.drop(work, found, listed)
     state = texts.where("copies > 1").select("key", F.lit(True).alias("whole"))
     full = rows.select("_id", "key", "n_bytes", "sha").join(done, "key", "left").join(state, "key", "left")
     whole, none = F.coalesce("whole", F.lit(False)), F.array().cast("array<bigint>")
