@@ -12,11 +12,14 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.plans.runtime import Scratch
+from vertexloom.plans.runtime import Scratch, settings
+
+#: Up to so many edges and shuffle partitions, re-planning each stage costs more than it saves.
+SMALL_EDGES, SMALL_PARTITIONS = 5_000_000, 32
 
 
 @dataclass
@@ -127,6 +130,8 @@ def pregel(
     edges = scratch.put(graph.edges.repartition("src" if direction != "in" else "dst"))
     state = scratch.put(graph.vertices.select("id", *(c.alias(k) for k, c in init.items())).withColumn("_active", start if start is not None else F.lit(True)))
     run = Run(state)
+    small = int(graph.spark.conf.get("spark.sql.shuffle.partitions")) <= SMALL_PARTITIONS and edges.count() <= SMALL_EDGES
+    replan = {"adaptive__enabled": "false"} if small else {}
     for number in range(1, max_iter + 1):
         began = time.perf_counter()
         sent = messages_to(state.where("_active"), edges, message, direction)
@@ -137,8 +142,12 @@ def pregel(
         full = state.join(mail, "id", "left")
         works = F.lit(True) if all_compute else F.col("_mail").isNotNull()
         new = full.select("id", *(F.when(works, update[k]).otherwise(F.col(k)).alias(k) if k in update else F.col(k) for k in init), *(F.col(k).alias(f"old_{k}") for k in init), *combine, "_mail")
-        after = scratch.put(new.withColumn("_active", F.coalesce(active, F.lit(False))).select("id", *init, "_active", "_mail"))
-        seen = after.agg(F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items())).first()
+        # the counts that the stop test needs come from the job that writes the state
+        counts = Observation()
+        judged = new.withColumn("_active", F.coalesce(active, F.lit(False))).select("id", *init, "_active", "_mail")
+        with settings(graph.spark, **replan):
+            after = scratch.put(judged.observe(counts, F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items())))
+        seen = counts.get
         step = Step(number, {k: seen[f"agg_{k}"] for k in aggregates or {}}, seen["m"] or 0, seen["a"] or 0, time.perf_counter() - began)
         run.steps.append(step)
         scratch.drop(state)
