@@ -168,11 +168,15 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
     an empty table gives an empty result.
     """
     scratch = scratch or Scratch(df.sparkSession, "minhash")
-    rows = scratch.put(sketches(df, id_col, text_col, size))
-    nodes = scratch.put(rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    sketched = scratch.put(sketches(df, id_col, text_col, size))
+    rows = scratch.put(sketched.select("_id", "n", "node"))
+    nodes = scratch.put(sketched.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    scratch.drop(sketched)
     member = nodes.select(F.explode("keys").alias("key"), "node")
     shared = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     together = scratch.put(member.join(shared, "key"))
+    keyed, nodes = nodes, scratch.put(nodes.select("node", "rep", "n", "sig"))
+    scratch.drop(keyed)
     wanted = scratch.put(together.select("node").distinct())
     named = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_r"), F.col("rep").isNull().alias("_none"))
     texts = df.select(F.col(id_col).alias("_r"), F.col(text_col).alias("_t"))
@@ -226,13 +230,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
         chance = F.lit(float(share)) / (F.col("total") - F.col("most"))
         drawn = F.pmod(F.xxhash64("node", "key", F.lit(share)), F.lit(1 << 30)) / float(1 << 30)
         opened = scratch.put(state.join(keys, "key").select("key", "node", "n", "open", "component", ((F.col("component") != F.col("major")) & (drawn < chance)).alias("lead")))
-        if share > FIRST_SHARE:
-            scratch.drop(active)
         if opened.isEmpty():
             break
+        scratch.drop(active)
         lead = opened.where("lead").select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("n").alias("un"), F.col("open").alias("uo"), F.col("component").alias("uc"))
+        # only nodes of open keys can be partners, so only their sets are looked at
+        partners = sets.join(opened.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("s"))
         own = sets.join(lead.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.explode("set").alias("s"))
-        held = exploded.join(own.select("s").distinct(), "s", "left_semi")
+        held = scratch.put(partners.join(own.select("s").distinct(), "s", "left_semi"))
         rare = scratch.put(held.join(held.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("s"), "s"))
         mine = rare.join(lead.select("u").distinct(), F.col("node") == F.col("u")).select("u", "s")
         by_rare = mine.join(rare, "s").where("u <> node").select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
@@ -243,10 +248,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
         pairs = by_rare.union(by_key).distinct()
         found = scratch.put(confirmed(likely(pairs)))
         active = scratch.put(opened.where("not lead").select("key", "node", "n", "open"))
-        scratch.drop(opened, rare)
+        scratch.drop(opened, rare, held)
         if not found.isEmpty():
             component = scratch.put(_joined(component, found, scratch))
         share *= 16
+    scratch.drop(opened, active, members, hopeful, light, sets)
     place = nodes.select("node", "rep").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = place.groupBy("component").agg(F.min("rep").alias("component_id"))
     placed = place.join(least, "component").select("node", "component_id")
