@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from vertexloom.llm.common import over_rows
 
 #: Words and fragments kept in each worker's caches; a full cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 #: Letters and numbers that Unicode 16.0 added to those of Python 3.13, as ranges of code points.
 LETTERS_16 = [
