@@ -137,6 +137,14 @@ def test_containment_in_long_documents(spark):
     assert clean == {d for d, _ in docs} - {d for d, *_ in got if d is not None}
 
 
+def test_short_items_in_many_long_documents(spark):
+    items = [(k, " ".join(words(n))) for k, n in enumerate([5, 6, 7, 8, 12, 20])]
+    docs = [(k, " ".join([*words(200), items[k % 6][1], *words(200)])) for k in range(600)]
+    docs += [(1000 + k, " ".join([*words(90), *items[5][1].split()[:k], *words(90)])) for k in range(12, 20)]
+    got = {tuple(r) for r in decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got) >= 600 and got == contained_by_hand(docs, items, 80)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 3)
     items = [(k, " ".join(words(20))) for k in range(10)]

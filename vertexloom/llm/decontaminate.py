@@ -7,6 +7,11 @@ Inside such a window the item's share is large, and containment turns into a
 Jaccard similarity that MinHash can see.  Sketches of long windows are minima of
 the sketches of short ones, so all partitions together cost one pass of hashing.
 
+Items of at most ``SHORT`` shingles are too small a share of the shortest window.
+They are found without sketches: a document that holds enough of an item holds one
+of any n - need + 1 of its n shingles, so the documents' shingles are looked up
+among so many of each short item, those that the fewest items share.
+
 One equal minimum makes a candidate: of ``HASHES`` minima an item that the window
 holds to 80 per cent misses all of them with probability below 1e-5 in the worst
 window and 1e-9 in most; windows overlap, so two see each item.  A candidate is
@@ -18,6 +23,7 @@ passes over the documents, never a larger task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,8 @@ HASHES = 64
 BLOCK = 50_000
 #: Shingles in the shortest pieces; partition p has pieces of STEP * 2**p.
 STEP = 32
+#: Items of up to so many distinct shingles are looked up by exact shingles.
+SHORT = STEP // 2
 
 _ODD = mix(np.arange(20_001, 20_001 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix(np.arange(30_001, 30_001 + HASHES, dtype=np.uint64))
@@ -77,14 +85,18 @@ class Index:
         self.ids = [i for i, _ in items]
         self.shingles: list[dict[int, tuple[bytes, ...]]] = []
         parts: dict[int, list[int]] = {}
+        short: list[int] = []
         for k, (_, text) in enumerate(items):
             words = words_of(text)
             hashes = self.hashes(text)
             width = min(SIZE, len(words))
             self.shingles.append({int(h): tuple(words[j : j + width]) for j, h in enumerate(hashes)})
-            if len(words):
+            if 0 < len(self.shingles[k]) <= SHORT:
+                short.append(k)
+            elif len(words):
                 parts.setdefault(partition_of(len(self.shingles[k])), []).append(k)
         self.parts = {p: self._table(ks) for p, ks in sorted(parts.items())}
+        self.short = self._exact(short) if short else None
 
     @staticmethod
     def hashes(text: str | None) -> np.ndarray:
@@ -94,7 +106,20 @@ class Index:
     def _table(self, ks: list[int]):
         """Sorted (minimum, item) of a partition, and a bit table that most other values fail."""
         rows = [_minima(np.fromiter(self.shingles[k], np.uint64, len(self.shingles[k])), np.zeros(1, np.int64))[0] for k in ks]
-        values, owners = np.concatenate(rows), np.repeat(np.asarray(ks), HASHES)
+        return self._sorted(np.concatenate(rows), np.repeat(np.asarray(ks), HASHES))
+
+    def _exact(self, ks: list[int]):
+        """The same of short items' shingles, as many of each as no document that holds enough of it can lack."""
+        shared = Counter(x for k in ks for x in self.shingles[k])
+        rows = []
+        for k in ks:
+            n = len(self.shingles[k])
+            lacking = n - -(-self.percent * n // 100)
+            rows += [(x, k) for x in sorted(self.shingles[k], key=lambda x: (shared[x], x))[: lacking + 1]]
+        return self._sorted(np.array([x for x, _ in rows], np.uint64), np.array([k for _, k in rows]))
+
+    @staticmethod
+    def _sorted(values: np.ndarray, owners: np.ndarray):
         order = np.argsort(values, kind="stable")
         bits = max(16, int(len(values) * 64).bit_length())
         table = np.zeros(1 << bits, bool)
@@ -102,12 +127,16 @@ class Index:
         return values[order], owners[order], table
 
     def candidates(self, h: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
-        """(text, item) pairs with an equal minimum in some window; ``edges`` bound each text's shingles in ``h``."""
+        """(text, item) pairs with an equal minimum in some window, or an equal shingle of a short item; ``edges`` bound each text's shingles in ``h``."""
         found: set[tuple[int, int]] = set()
         counts = np.diff(edges)
         full = np.flatnonzero(counts)
-        if not len(full) or not self.parts:
+        if not len(full):
             return []
+        if self.short is not None:
+            found |= self._lookup(self.short, h, np.repeat(full, counts[full]), 1)
+        if not self.parts:
+            return sorted(found)
         # pieces of STEP shingles that never cross texts
         pieces = -(-counts[full] // STEP)
         owner = np.repeat(full, pieces)
@@ -119,17 +148,18 @@ class Index:
                 sketch, owner = _joined(sketch, owner)
             if p in self.parts:
                 windows, text = _pairs(sketch, owner)
-                found |= self._lookup(p, windows, text)
+                found |= self._lookup(self.parts[p], windows.ravel(), text, HASHES)
         return sorted(found)
 
-    def _lookup(self, p: int, windows: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
-        values, owners, table = self.parts[p]
-        flat = windows.ravel()
+    @staticmethod
+    def _lookup(known, flat: np.ndarray, text: np.ndarray, each: int) -> set[tuple[int, int]]:
+        """(text, item) of equal values; ``each`` values in turn belong to one entry of ``text``."""
+        values, owners, table = known
         at = np.flatnonzero(table[(flat >> np.uint64(3)) & np.uint64(len(table) - 1)])
         lo, hi = np.searchsorted(values, flat[at]), np.searchsorted(values, flat[at], "right")
         out: set[tuple[int, int]] = set()
         for w, a, b in zip(at[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-            out.update((int(text[w // HASHES]), int(k)) for k in owners[a:b])
+            out.update((int(text[w // each]), int(k)) for k in owners[a:b])
         return out
 
     def verified(self, text: bytes, h: np.ndarray, k: int) -> int:
