@@ -69,6 +69,16 @@ def labelled(n, low):
     return docs, labels
 
 
+def test_quotations_do_not_use_up_later_hits():
+    m = toxicity.Matcher({"idiot": (False, 5.0), "scum": (True, 2.0)})
+    gap = " and so on it went for a while longer"
+    told = (" they said \"idiot\" and \"idiiot\"" + gap) * 3
+    assert toxicity.features(told, m) == (0.0, 0.0, 0.0, 2.0)
+    assert toxicity.features(told + " you idiot" + gap, m) == (1.0, 0.0, 0.0, 2.0)
+    assert toxicity.features(told + " you idiot and idiiot and idiot" * 5 + gap, m) == (2.0, 0.0, 2.0, 2.0)
+    assert toxicity.features(" you idiiot" * 9 + gap + " you idiot scumbag" + gap + told, m) == (1.0, 0.4, 2.0, 2.0)
+
+
 @pytest.mark.parametrize("what", ["quality", "toxicity"])
 def test_held_out_accuracy_and_odd_rows(spark, what):
     docs, labels = labelled(400, what == "quality")

@@ -37,7 +37,7 @@ WINDOW = 6
 CACHE = 60_000
 #: Weights (bias, words, beginnings, misspelt, quoted) that the fit is drawn to.
 PRIOR = np.array([-4.0, 3.5, 1.0, 1.5, 0.2])
-#: What a text's hits of one kind add up to at most, and how often one term counts in a text.
+#: What a text's hits of one kind add up to at most, and how often one term counts in a text as each kind.
 MOST_WEIGHT, MOST_TIMES = 30.0, 2
 
 TRIM = re.compile(r"^[^\w]+|[^\w]+$")
@@ -172,10 +172,13 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, float, float]:
     for k, w in enumerate(words):
         if w in hits:
             term, edits = hits[w]
-            times[term] += 1
-            if times[term] <= MOST_TIMES:
-                kind = 3 if quoted(words, k) else 2 if edits else 1 if matcher.begins[term] else 0
-                sums[kind] += matcher.weight[term]
+            bare = 2 if edits else 1 if matcher.begins[term] else 0
+            # an occurrence that adds nothing either way is not judged
+            if times[term, bare] < MOST_TIMES or times[term, 3] < MOST_TIMES:
+                kind = 3 if quoted(words, k) else bare
+                times[term, kind] += 1
+                if times[term, kind] <= MOST_TIMES:
+                    sums[kind] += matcher.weight[term]
     return tuple(min(x, MOST_WEIGHT) / 5 for x in sums)
 
 
