@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from vertexloom.algorithms import components
+from vertexloom.algorithms import coloring, components, matching, pagerank, sssp
 from vertexloom.operators.stars import star_components
+from vertexloom.plans import gas
 
 ALGORITHMS = ["hashmin", "sv", "pivot", "stars"]
 
@@ -74,3 +76,22 @@ def test_no_links(spark):
 def test_unknown_algorithm(graph):
     with pytest.raises(ValueError):
         components.connected_components(graph([(0, 1)]), "nope")
+
+
+def test_searches_that_run_out_of_rounds_fail(graph, monkeypatch):
+    g = graph([(k, k + 1) for k in range(8)])
+    with pytest.raises(RuntimeError, match="did not end in 6"):
+        components.connected_components(g, "pivot", max_iter=6, pivot=0)
+    assert set(labels(components.connected_components(g, "pivot", max_iter=9, pivot=0)).values()) == {0}
+    with pytest.raises(RuntimeError, match="did not settle in 3"):
+        sssp.sssp(g, 0, max_iter=3)
+    crossed = graph([(0, 1), (0, 3), (2, 1), (2, 3)])
+    with pytest.raises(RuntimeError, match="did not settle in 1"):
+        matching.bipartite_matching(crossed._with(crossed.edges, crossed.vertices.withColumn("is_left", F.col("id") % 2 == 0)), max_rounds=1)
+    with pytest.raises(RuntimeError, match="did not settle in 1"):
+        coloring.color(g, max_rounds=1)
+    monkeypatch.setattr(pagerank, "MOST_UPDATES", 2)
+    with pytest.raises(RuntimeError, match="did not settle in 2"):
+        pagerank.pagerank(g, normalized=False, dangling="drop", tol=1e-6)
+    with pytest.raises(RuntimeError, match="still signalled after 2"):
+        gas.gather_apply_scatter(g, init={"x": F.col("id")}, gather={"m": F.col("v.x")}, combine={"m": F.min("m")}, apply={"x": F.least("x", "m")}, scatter=F.col("x") < F.col("old_x"), max_iter=2)

@@ -63,6 +63,9 @@ def color(graph: Graph, algorithm: str = "luby", finish: str = "parallel", prune
         kept = scratch.put(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"))
         scratch.drop(edges)
         edges = kept
+    else:
+        if left:
+            raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
     return done if done is not None else rest.withColumn("color", F.lit(0))
 
 

@@ -92,6 +92,8 @@ def bfs_reachable(graph: Graph, source: int, max_iter: int = 10_000) -> DataFram
         start=F.col("id") == source,
         max_iter=max_iter,
     )
+    if run.reason == "max_iter":
+        raise RuntimeError(f"the search did not end in {max_iter} supersteps")
     return run.vertices.where("hops is not null")
 
 

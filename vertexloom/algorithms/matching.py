@@ -37,6 +37,9 @@ def bipartite_matching(graph: Graph, left_col: str = "is_left", finish: str = "p
         after = scratch.put(rest.join(taken.select("l"), "l", "left_anti").join(taken.select("r"), "r", "left_anti"))
         scratch.drop(rest)
         rest = after
+    else:
+        if not rest.isEmpty():
+            raise RuntimeError(f"the matching did not settle in {max_rounds} rounds")
     if pairs is None:
         return graph.vertices.select("id", F.lit(None).cast("long").alias("match_to"))
     both = pairs.select(F.col("l").alias("id"), F.col("r").alias("match_to")).union(pairs.select("r", "l"))

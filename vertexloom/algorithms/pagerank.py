@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vertexloom.graph import Graph
 from vertexloom.plans.runtime import Scratch
 
+#: Updates after which a run with ``tol`` that has not settled fails.
+MOST_UPDATES = 10_000
+
 
 def pagerank(graph: Graph, max_iter: int = 10, damping: float = 0.85, normalized: bool = True, dangling: str = "redistribute", tol: float | None = None) -> DataFrame:
     """(id, rank) after ``max_iter`` updates.
@@ -16,8 +19,8 @@ def pagerank(graph: Graph, max_iter: int = 10, damping: float = 0.85, normalized
     they start at 1 with (1-d) + d*sum.  ``dangling='redistribute'`` spreads the
     rank of vertices without out-edges over all, ``'drop'`` loses it.  Parallel
     edges count each.  With ``tol`` only vertices next to a change above ``tol``
-    are recomputed, from all their in-edges, until none is (``max_iter`` then only
-    guards against runs without end).
+    are recomputed, from all their in-edges, until none is (``max_iter``
+    then does not count; a run of ``MOST_UPDATES`` updates fails).
     """
     if dangling not in ("redistribute", "drop"):
         raise ValueError("dangling is 'redistribute' or 'drop'")
@@ -30,7 +33,7 @@ def pagerank(graph: Graph, max_iter: int = 10, damping: float = 0.85, normalized
     spread = dangling == "redistribute"
     edges = scratch.put(graph.edges.select("src", "dst").repartition("src"))
     state = scratch.put(graph.vertices.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(first).alias("rank"), F.lit(True).alias("act")))
-    for _ in range(max_iter if tol is None else 10_000):
+    for _ in range(max_iter if tol is None else MOST_UPDATES):
         lost = state.where("deg = 0").agg(F.sum("rank")).first()[0] or 0.0 if spread else 0.0
         if tol is None:
             wanted = edges
@@ -52,4 +55,7 @@ def pagerank(graph: Graph, max_iter: int = 10, damping: float = 0.85, normalized
         state = after
         if state.where("act").isEmpty():
             break
+    else:
+        if tol is not None:
+            raise RuntimeError(f"ranks did not settle in {MOST_UPDATES} updates")
     return state.select("id", "rank")

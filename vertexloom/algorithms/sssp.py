@@ -28,4 +28,6 @@ def sssp(graph: Graph, source: int, weight: str | None = None, with_parent: bool
         start=F.col("id") == source,
         max_iter=max_iter,
     )
+    if run.reason == "max_iter":
+        raise RuntimeError(f"distances did not settle in {max_iter} supersteps")
     return run.vertices if with_parent else run.vertices.select("id", "dist")

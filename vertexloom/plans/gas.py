@@ -27,7 +27,7 @@ def gather_apply_scatter(
     start: Column | None = None,
     max_iter: int = 1000,
 ) -> DataFrame:
-    """Final (id, state) after no vertex is signalled, or ``max_iter`` supersteps.
+    """Final (id, state) after no vertex is signalled; fails where ``max_iter`` supersteps do not get there.
 
     ``gather`` is evaluated on every in-edge ``e`` of an active vertex over the
     source's state ``v``; ``combine`` aggregates it; ``apply`` makes the new state
@@ -49,6 +49,8 @@ def gather_apply_scatter(
         state = after
         if state.where("_active").isEmpty():
             break
+    else:
+        raise RuntimeError(f"vertices were still signalled after {max_iter} supersteps")
     scratch.drop(edges)
     return state.select("id", *init)
 
