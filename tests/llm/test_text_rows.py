@@ -31,14 +31,38 @@ def test_bpe_equals_the_library(spark):
     assert bpe.tokenize(df, VOCABULARY).count() == len(rows) and bpe.digests(df.where("false"), VOCABULARY).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isfile(VOCABULARY), reason="no vocabulary file")
+def merged_by_rule(c, symbols):
+    """Lowest rank first, all its places from the left, until no merge applies."""
+    parts = list(symbols)
+    while True:
+        ranked = [(c.ranks[p], k) for k in range(len(parts) - 1) if (p := (parts[k], parts[k + 1])) in c.ranks]
+        if not ranked:
+            return tuple(c.ids[p] for p in parts)
+        k = min(ranked)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
 @pytest.mark.skipif(not os.path.isfile(VOCABULARY), reason="no vocabulary file")
 def test_merges_never_cross_a_cut():
     c = bpe.Codec(VOCABULARY)
-    for _ in range(200):
-        word = "".join(c.alphabet[b] for b in bytes(rng.randrange(97, 123) for _ in range(rng.randrange(1, 30))))
-        whole = (*word[:-1], word[-1] + c.end)
-        apart = tuple(i for f in c.split(word) for i in c.merge(f))
-        assert apart == c.merge(whole) == c._merge_long(whole)
+    words = [bytes(rng.choice([97, 101, 104, 116, rng.randrange(97, 123), rng.randrange(256)]) for _ in range(rng.randrange(1, 30))) for _ in range(400)] + [b"a" * 41, b"ha" * 30]
+    ids, edges = c.merge_all(words)
+    for k, w in enumerate(words):
+        shown = "".join(c.alphabet[b] for b in w)
+        whole = (*shown[:-1], shown[-1] + c.end)
+        want = merged_by_rule(c, whole)
+        assert tuple(ids[edges[k] : edges[k + 1]].tolist()) == want == c.merge(whole) == tuple(i for f in c.split(shown) for i in c.merge(f))
+
+
+@pytest.mark.skipif(not os.path.isfile(VOCABULARY), reason="no vocabulary file")
+def test_forgotten_words_are_encoded_again_alike(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "PASS", 3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "x" * 600, "delta", "ok", "<", "|"]) for _ in range(9)) for _ in range(30)]
+    one, c = [bpe.Codec(VOCABULARY).encode(t).tolist() for t in texts[:6]], bpe.Codec(VOCABULARY)
+    assert [i.tolist() for i in c.encode_all(texts)][:6] == one and [c.encode(t).tolist() for t in texts[:6]] == one
+    assert len(c.words) < 5 and not any(len(w) > 500 for w in c.words | c.older)
 
 
 def test_base_spans_by_plain_patterns(spark):

@@ -3,8 +3,9 @@
 A merge can only join two neighbours if some vocabulary token holds them side by
 side.  A pair of neighbouring symbols found inside no token is therefore a
 certain cut: no merge crosses it, so the fragments on both sides are encoded
-independently and their ids concatenated.  Fragments repeat far more often than
-words, which makes a bounded cache of fragments effective on any corpus.
+independently and their ids concatenated.  The distinct words of a piece of texts
+that are not remembered are cut and merged together, as arrays; words met again are
+remembered in two generations, so frequent ones stay when rare ones are forgotten.
 
 Text is first split as the vocabulary file says: special strings, NFC, lower
 case, then the split pattern; bytes are written with the usual printable alphabet.
@@ -24,8 +25,14 @@ from pyspark.sql import DataFrame
 
 from vertexloom.llm.common import over_rows
 
-#: Words and fragments kept in each worker's caches; a full cache starts anew.
-CACHE = 150_000
+#: Words a worker remembers before those not met again are forgotten; twice as many are held at most, beside one piece's.
+CACHE = 120_000
+#: Words of so many characters are encoded by themselves and not remembered; others in passes of so many.
+LONG, PASS = 512, 50_000
+#: Bytes of text whose words are encoded together, about; a longer text stands alone, whole.
+PIECE = 4 << 20
+#: The rank of a pair that no merge joins.
+NEVER = np.iinfo(np.int32).max
 
 #: Letters and numbers that Unicode 16.0 added to those of Python 3.13, as ranges of code points.
 LETTERS_16 = [
@@ -68,10 +75,12 @@ class Codec:
         self.pattern = regex.compile(self.rule)
         self.wide: regex.Pattern | None = None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.signs = sorted({t[0] for t in self.special if t})
         self.alphabet = [a for _, a in sorted(byte_alphabet().items())]
         self.inner, self.last = self._pairs()
         self.words: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
+        self._tables()
 
     def _pairs(self) -> tuple[set[str], set[str]]:
         """Neighbours inside tokens: pairs of plain symbols, and pairs whose second symbol ends a word."""
@@ -83,6 +92,52 @@ class Codec:
                 (last if ends and k == len(body) - 2 else inner).add(body[k : k + 2])
         return inner, last
 
+    def _tables(self) -> None:
+        """The vocabulary as arrays: ids of single bytes, pairs of bytes that may stay together, and merges as a hash table."""
+        signs = {c: b for b, c in enumerate(self.alphabet)}
+        self.single = np.array([self.ids[c] for c in self.alphabet], np.int64)
+        self.closing = np.array([self.ids[c + self.end] for c in self.alphabet], np.int64)
+        self.joins = np.zeros((2, 256, 256), bool)
+        for k, pairs in enumerate((self.inner, self.last)):
+            for x, y in (p for p in pairs if len(p) == 2):
+                if x in signs and y in signs:
+                    self.joins[k, signs[x], signs[y]] = True
+        self.merged = np.array([self.ids[a + b] for a, b in self.ranks], np.int64)
+        keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in self.ranks], np.int64)
+        # open addressing: each round places those keys whose next slot is free
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.slots, self.slot_rank = np.full(size, -1, np.int64), np.full(size, NEVER, np.int32)
+        at, rest = self._slot(keys), np.arange(len(keys))
+        self.probes = 0
+        while len(rest):
+            free = self.slots[at] < 0
+            _, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.slots[at[put]], self.slot_rank[at[put]] = keys[rest[put]], rest[put]
+            left = np.ones(len(rest), bool)
+            left[put] = False
+            rest, at = rest[left], (at[left] + 1) & (size - 1)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (len(self.slots) - 1)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NEVER where no merge joins them."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        out = np.where(self.slots[at] == keys, self.slot_rank[at], NEVER)
+        open_ = np.flatnonzero((out == NEVER) & (self.slots[at] >= 0))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            held = self.slots[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.slot_rank[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
     def split(self, word: str) -> list[tuple[str, ...]]:
         """The fragments of a word between certain cuts, as tuples of symbols; the last symbol carries the word end."""
         n, at, out = len(word), 0, []
@@ -93,41 +148,60 @@ class Codec:
         out.append((*word[at : n - 1], word[n - 1] + self.end))
         return out
 
-    def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
-        """Apply merges by rank, leftmost first, until none applies."""
-        parts, ranks = list(symbols), self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: ranks.get((parts[k], parts[k + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in ranks:
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words (UTF-8, none empty) and the offsets where each word's ids begin.
+
+        All words are cut into fragments at once; then, in rounds, every fragment
+        joins its pair of lowest rank wherever it stands, leftmost first.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size) - 1
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        tail = np.zeros(len(raw), bool)
+        tail[ends] = True
+        symbols = np.where(tail, self.closing[raw], self.single[raw])
+        owner = np.repeat(np.arange(len(words)), size)
+        stays = np.zeros(len(raw), bool)
+        stays[:-1] = self.joins[tail[1:].astype(np.int8), raw[:-1], raw[1:]] & ~tail[:-1]
+        rank = np.full(len(raw), NEVER, np.int32)
+        near = np.flatnonzero(stays)
+        rank[near] = self._rank(symbols[near], symbols[near + 1])
+        place = np.arange(len(raw))
+        done_place, done_symbol = [], []
+        first = np.append(True, ~stays[:-1])
+        while True:
+            begin = np.flatnonzero(first)
+            low = np.minimum.reduceat(rank, begin) if len(begin) else np.zeros(0, np.int32)
+            length = np.diff(np.append(begin, len(rank)))
+            live = np.repeat(low < NEVER, length)
+            # fragments without a merge are finished
+            done_place.append(place[~live])
+            done_symbol.append(symbols[~live])
+            if not live.any():
                 break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return tuple(self.ids[p] for p in parts)
+            symbols, rank, place, first = symbols[live], rank[live], place[live], first[live]
+            at = np.flatnonzero(rank == np.repeat(low[low < NEVER], length[low < NEVER]))
+            # places in a row share their middle symbol, as in "aaa": every other one joins
+            run = np.append(True, np.diff(at) > 1)
+            head = np.flatnonzero(run)
+            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+            symbols[at] = self.merged[rank[at]]
+            keep = np.ones(len(rank), bool)
+            keep[at + 1] = False
+            moved = np.cumsum(keep) - 1
+            symbols, rank, place, first = symbols[keep], rank[keep], place[keep], first[keep]
+            at = moved[at]
+            here = at[np.append(~first[1:], False)[at]]
+            before = at[~first[at]] - 1
+            again = np.unique(np.concatenate([here, before]))
+            rank[at] = NEVER
+            rank[again] = self._rank(symbols[again], symbols[again + 1])
+        places, found = np.concatenate(done_place), np.concatenate(done_symbol)
+        order = np.argsort(places)
+        return found[order].astype("<u4"), np.searchsorted(owner[places[order]], np.arange(len(words) + 1))
 
-    def word_ids(self, word: str) -> bytes:
-        """Ids of one word of the split pattern, as little-endian 32-bit integers."""
-        found: list[int] = []
-        for fragment in self.split("".join(self.alphabet[b] for b in word.encode("utf-8"))):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                if len(self.fragments) >= CACHE:
-                    self.fragments.clear()
-                ids = self.merge(fragment) if len(fragment) < 512 else self._merge_long(fragment)
-                if len(fragment) < 64:
-                    self.fragments[fragment] = ids
-            found += ids
-        return np.asarray(found, "<u4").tobytes()
-
-    def _merge_long(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
-        """As merge(), with a heap, for fragments where the quadratic loop would be slow."""
+    def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+        """Apply merges by rank, leftmost first, to one fragment of any length, with a heap."""
         import heapq
 
         parts: list[str | None] = list(symbols)
@@ -147,6 +221,36 @@ class Codec:
                     heapq.heappush(heap, (r, x, parts[x], parts[right[x]]))
         return tuple(self.ids[p] for p in parts if p is not None)
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one word of the split pattern, as little-endian 32-bit integers; for words too long for merge_all()."""
+        shown = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
+        return np.asarray([i for fragment in self.split(shown) for i in self.merge(fragment)], "<u4").tobytes()
+
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Make all wanted words known; those returned are too long to be remembered."""
+        known, older, fresh, long_ = self.words, self.older, [], []
+        for w in wanted - known.keys():
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif len(w) < LONG:
+                fresh.append(w)
+            else:
+                known[w] = self.word_ids(w)
+                long_.append(w)
+        for a in range(0, len(fresh), PASS):
+            part = fresh[a : a + PASS]
+            ids, edges = self.merge_all([w.encode("utf-8", "surrogatepass") for w in part])
+            data, edges = ids.tobytes(), (edges * 4).tolist()
+            known.update(zip(part, [data[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+        return long_
+
+    def forget(self, long_: list[str]) -> None:
+        """Bound what is remembered: words not met since the last time go."""
+        for w in long_:
+            self.words.pop(w, None)
+        if len(self.words) >= CACHE:
+            self.words, self.older = {}, self.words
+
     def _wide(self) -> regex.Pattern:
         """The split pattern with the letters and numbers of Unicode 16.0, whatever version the regex module knows."""
         if self.wide is None:
@@ -163,37 +267,44 @@ class Codec:
             self.wide = regex.compile(rule.replace(rest, f"(?:{rest}|[{odd_all}])") if odd_all else rule)
         return self.wide
 
-    def _plain(self, text: str) -> bytes:
+    def _split_text(self, text: str) -> list[str]:
+        """The words of a text without special strings."""
         pattern = self.pattern
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             if max(text) > "\u024f":
                 pattern, text = self._wide(), text.translate(NEW_LOWER)
-        found, words = pattern.findall(text.lower()), self.words
-        out = []
-        for w in found:
-            ids = words.get(w)
-            if ids is None:
-                ids = self.word_ids(w)
-                if len(w) < 64:
-                    if len(words) >= CACHE:
-                        words.clear()
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return pattern.findall(text.lower())
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text; the distinct words of all are encoded once."""
+        found: list[list[list[str] | bytes]] = []
+        wanted: set[str] = set()
+        for t in texts:
+            if self.cut is None or not any(c in t for c in self.signs):
+                parts = [self._split_text(t)]
+            else:
+                parts = [int(self.special[x]).to_bytes(4, "little") if x in self.special else self._split_text(x) for x in self.cut.split(t) if x]
+            for p in parts:
+                if not isinstance(p, bytes):
+                    wanted.update(p)
+            found.append(parts)
+        long_ = self.learn(wanted)
+        known = self.words
+        out = [np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join([known[w] for w in p]) for p in parts]), "<u4") for parts in found]
+        self.forget(long_)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if self.cut is None or "<" not in text:
-            data = self._plain(text)
-        else:
-            data = b"".join(int(self.special[x]).to_bytes(4, "little") if x in self.special else self._plain(x) for x in self.cut.split(text) if x)
-        return np.frombuffer(data, "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by spaces, as a file without a decoder asks; unknown ids give nothing."""
         names = self.names
-        return " ".join([names[i] for i in ids.tolist() if i < len(names) and names[i]])
+        if len(ids) and int(ids.max()) >= len(names):
+            ids = ids[ids < len(names)]
+        return " ".join(filter(None, map(names.__getitem__, ids.tolist())))
 
     def text(self, ids: np.ndarray) -> str:
         """Readable text: bytes restored, a space after each word, special tokens left out."""
@@ -218,6 +329,18 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _encoded(c: Codec, texts: pd.Series) -> Iterator[np.ndarray]:
+    """Ids of each text in turn, piece by piece; null counts as empty."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= PIECE:
+            yield from c.encode_all(held)
+            held, size = [], 0
+    yield from c.encode_all(held)
+
+
 def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode it again: id, ids array<long>, decoded string.
 
@@ -229,7 +352,7 @@ def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            ids = [c.encode(t or "") for t in pdf["_t"]]
+            ids = list(_encoded(c, pdf["_t"]))
             yield pd.DataFrame({id_col: pdf[id_col], "ids": [i.astype(np.int64) for i in ids], "decoded": [c.decode(i) for i in ids]})
 
     return over_rows(df, {id_col: id_col}, text_col, run, "ids array<bigint>, decoded string")
@@ -244,8 +367,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in batches:
             n, a, b = [], [], []
-            for t in pdf["_t"]:
-                ids = c.encode(t or "")
+            for ids in _encoded(c, pdf["_t"]):
                 n.append(len(ids))
                 a.append(sha(ids.tobytes()))
                 b.append(sha(c.decode(ids).encode("utf-8")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +12,10 @@ import corpus_pipeline
 from vertexloom.llm import bm25, bpe, decontaminate, license_scan, minhash, pii, quality, suffix_dedup, toxicity, url_filter
 from vertexloom.llm.common import table
 
-#: Where the public vocabulary files stand; callers of the operator pass their own path.
-TOKENIZER_DIR = "/opt/tokenizers"
-
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    return f"{TOKENIZER_DIR}/{name}"
+    """Where a public vocabulary file stands; callers of the operator pass their own path."""
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
