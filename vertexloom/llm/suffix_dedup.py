@@ -13,10 +13,12 @@
    from the one before are compared.
 3. Merging.  Windows not yet matched that hold an anchor of several shards are
    written as sorted lists of 96-bit digests, cut into ranges; each range merges
-   the shards' lists by binary search, and each shard looks its windows up in what
-   was found twice, again by binary search.
+   the shards' lists by binary search and tells each shard which places of its
+   list were found twice.
 
-Tasks hold a shard or a range, never a group of copies or all lists.
+Shards get the surroundings of anchors, not whole texts, and are read once; the
+removed runs are then taken out of the texts where these are scanned.  Tasks hold
+a shard or a range, never a group of copies or all lists.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ from vertexloom.plans.runtime import Scratch
 
 LENGTH, GRAM = 400, 32
 #: Bytes of candidate text in a shard, and windows in a range of the merge, about.
-SHARD, RANGE = 3 << 19, 1 << 20
-#: Ids of wanted texts that may be broadcast; a longer list joins by shuffle.
-SMALL_LIST = 500_000
+SHARD, RANGE = 1 << 20, 1 << 20
+#: Bytes of the ids of wanted texts that may be broadcast; a larger list joins by shuffle.
+SMALL_LIST = 16 << 20
 #: Odd multipliers of the two window digests.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -186,80 +188,107 @@ def _digest_key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _segments(pdf: pd.DataFrame, length: int, gram: int):
-    """Candidate ranges of a shard's texts, joined: bytes, bytes left in the range, its text's row and its place there."""
-    parts, left, row, place = [], [], [], []
-    for i, (text, at) in enumerate(zip(pdf["text"], pdf["at"], strict=True)):
-        raw = np.frombuffer(text, np.uint8)
-        for a, b in zip(*_near(np.asarray(at, np.int64), len(raw), length - gram, length), strict=True):
-            if b - a >= length:
-                parts += [raw[a:b], np.zeros(1, np.uint8)]
-                left += [np.arange(b - a, -1, -1, dtype=np.int32)]
-                row.append(np.full(b - a + 1, i, np.int32))
-                place.append(np.arange(a, b + 1, dtype=np.int32))
-    if not parts:
-        return None
-    return np.concatenate(parts), np.concatenate(left), np.concatenate(row), np.concatenate(place)
+def _cutter(length: int, gram: int):
+    """Of each text only the surroundings of its anchors; rows whose text is not the one that the key names give nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for shard, key, text, at, far in zip(*(pdf[c] for c in ("shard", "key", "text", "at", "far")), strict=True):
+                if _digest_key(text := bytes(text)) != bytes(key):
+                    continue
+                begin, end = _near(np.asarray(at, np.int64), len(text), length - gram, length)
+                whole = end - begin >= length
+                begin, end = begin[whole], end[whole]
+                out.append((shard, key, b"".join([text[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]), begin, end - begin, np.sort(np.asarray(far, np.int64))))
+            yield pd.DataFrame(out, columns=["shard", "key", "raw", "begins", "sizes", "far"])
+
+    return run
 
 
-def _waiting(pdf: pd.DataFrame, row: np.ndarray, place: np.ndarray, left: np.ndarray, done: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Windows not matched in their shard that hold an anchor of several shards."""
+def _segments(pdf: pd.DataFrame):
+    """A shard's ranges joined, a zero after each: bytes, bytes left in the range, its text's row and its place there."""
+    sizes = [np.asarray(x, np.int64) for x in pdf["sizes"]]
+    row = np.repeat(np.arange(len(pdf), dtype=np.int32), [len(x) for x in sizes])
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    if not len(size):
+        return None
+    begin = np.concatenate([np.asarray(x, np.int64) for x in pdf["begins"]])
+    to = np.cumsum(size + 1) - size - 1
+    raw = np.zeros(int((size + 1).sum()), np.uint8)
+    at = 0
+    data = np.frombuffer(b"".join(map(bytes, pdf["raw"])), np.uint8)
+    for t, n in zip(to.tolist(), size.tolist(), strict=True):
+        raw[t : t + n] = data[at : at + n]
+        at += n
+    here = np.arange(len(raw), dtype=np.int32) - np.repeat(to, size + 1).astype(np.int32)
+    return raw, np.repeat(size, size + 1).astype(np.int32) - here, np.repeat(row, size + 1), here + np.repeat(begin, size + 1).astype(np.int32)
+
+
+def _waiting(pdf: pd.DataFrame, row: np.ndarray, place: np.ndarray, left: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Windows that hold an anchor of several shards."""
     out = np.zeros(len(row), bool)
     begin = np.searchsorted(row, np.arange(len(pdf) + 1))
-    for i, at in enumerate(pdf["far"]):
-        if len(at):
+    for i, far in enumerate(pdf["far"]):
+        if len(far):
             a, b = begin[i], begin[i + 1]
-            here = place[a:b]
-            p = np.sort(np.asarray(at, np.int64))
+            here, p = place[a:b], np.asarray(far, np.int64)
             k = np.searchsorted(p, here)
             out[a:b] = (k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= here + length - gram)
-    return out & ~done & (left >= length)
+    return out & (left >= length)
+
+
+FOUND = "shard bigint, key binary, starts array<bigint>, ends array<bigint>, waits array<bigint>, wait_ends array<bigint>, listed binary, part int, at bigint, d64 binary, d32 binary, known boolean"
+_COLUMNS = [c.split(" ")[0] for c in FOUND.split(", ")]
 
 
 def _search_shard(length: int, gram: int, ranges: int):
-    """Stage of one shard: matched places of each text, waiting windows, and digest lists by range."""
+    """Stage of one shard: matched places of each text, waiting windows with their places in the digest list, and that list by range."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, rows = int(pdf["shard"].iloc[0]), []
-        pdf = _own_texts(pdf)
-        found = _segments(pdf, length, gram)
+        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
+        found = _segments(pdf)
         if found is None:
-            return pd.DataFrame(rows, columns=["shard", "key", "starts", "ends", "waits", "wait_ends", "part", "d64", "d32", "known"])
+            return pd.DataFrame(rows, columns=_COLUMNS)
         raw, left, row, place = found
         done = repeated_starts(raw, left, length)
-        wait = _waiting(pdf, row, place, left, done, length, gram)
+        every = _waiting(pdf, row, place, left, length, gram)
+        wait = every & ~done
         covered = _cover(done, length)
-        begin = np.searchsorted(row, np.arange(len(pdf) + 1))
+        listed = np.zeros(0, np.uint32)
+        if every.any():
+            d, d2 = window_digests(raw, length, 0), (window_digests(raw, length, 1) >> np.uint64(32)).astype(np.uint32)
+            for known, flags in ((False, wait), (True, every & done)):
+                at = np.flatnonzero(flags[: len(d)])
+                if len(at):
+                    lists, places = _lists(shard, d[at], d2[at], known, ranges)
+                    rows += lists
+                    listed = listed if known else places
+        begin, before = np.searchsorted(row, np.arange(len(pdf) + 1)), np.concatenate(([0], np.cumsum(wait)))
         for i in range(len(pdf)):
             a, b = begin[i], begin[i + 1]
             if covered[a:b].any() or wait[a:b].any():
                 s, e = _runs(covered[a:b])
                 w, x = _runs(wait[a:b])
                 here = place[a:b]
-                rows.append((shard, pdf["key"].iloc[i], here[s], here[e - 1] + 1, here[w], here[x - 1] + 1, -1, None, None, False))
-        far = [i for i, f in enumerate(pdf["far"]) if len(f)]
-        if far:
-            every = _waiting(pdf, row, place, left, np.zeros(len(raw), bool), length, gram)
-            d, d2 = window_digests(raw, length, 0), window_digests(raw, length, 1)
-            for known, flags in ((False, wait), (True, every & done)):
-                at = np.flatnonzero(flags[: len(d)])
-                if len(at):
-                    rows += _lists(shard, d[at], d2[at], known, ranges)
-        return pd.DataFrame(rows, columns=["shard", "key", "starts", "ends", "waits", "wait_ends", "part", "d64", "d32", "known"])
+                rows.append((shard, pdf["key"].iloc[i], here[s], here[e - 1] + 1, here[w], here[x - 1] + 1, listed[before[a] : before[b]].tobytes(), -1, 0, None, None, False))
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     return run
 
 
-def _lists(shard: int, d: np.ndarray, d2: np.ndarray, known: bool, ranges: int) -> list[tuple]:
-    """Sorted distinct digests of a shard, cut at the borders of the ranges by binary search."""
-    d2 = (d2 >> np.uint64(32)).astype(np.uint32)
+def _lists(shard: int, d: np.ndarray, d2: np.ndarray, known: bool, ranges: int) -> tuple[list[tuple], np.ndarray]:
+    """Sorted distinct digests of a shard, cut at the borders of the ranges by binary search, and each window's place among them."""
     order = np.lexsort((d2, d))
     d, d2 = d[order], d2[order]
     new = np.append(True, (d[1:] != d[:-1]) | (d2[1:] != d2[:-1]))
+    places = np.empty(len(d), np.uint32)
+    places[order] = np.cumsum(new) - 1
     d, d2 = d[new], d2[new]
     borders = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
-    cuts = np.concatenate(([0], np.searchsorted(d, borders), [len(d)]))
-    return [(shard, None, None, None, None, None, p, d[a:b].tobytes(), d2[a:b].tobytes(), known) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    cuts = np.concatenate(([0], np.searchsorted(d, borders), [len(d)])).tolist()
+    return [(shard, None, None, None, None, None, None, p, a, d[a:b].tobytes(), d2[a:b].tobytes(), known) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], places
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,13 +316,10 @@ def _as_bytes(d64: bytes, d32: bytes) -> np.ndarray:
 
 
 def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Digests that several shards hold, told to each shard where they still wait."""
-    lists = {}
-    for shard, d, e, known in zip(pdf["shard"], pdf["d64"], pdf["d32"], pdf["known"], strict=True):
-        mine = _as_bytes(d, e)
-        lists.setdefault(shard, []).append((mine, known))
-    # a shard's waiting and known windows differ, so one list each
-    queue = [np.sort(np.concatenate([x for x, _ in v])) if len(v) > 1 else v[0][0] for v in lists.values()]
+    """Digests that several shards hold, told to each shard as places in its list where they still wait."""
+    lists = [(shard, at, known, _as_bytes(d, e)) for shard, at, known, d, e in zip(*(pdf[c] for c in ("shard", "at", "known", "d64", "d32")), strict=True)]
+    # a shard's waiting and known windows differ, so its two lists can be joined
+    queue = [np.sort(np.concatenate([x[3] for x in lists if x[0] == shard])) for shard in dict.fromkeys(x[0] for x in lists)]
     twice: list[np.ndarray] = []
     while len(queue) > 1:
         ahead = []
@@ -305,54 +331,57 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
     found = np.unique(np.concatenate(twice)) if twice else np.zeros(0, "S13")
     rows = []
     if len(found):
-        for shard, v in lists.items():
-            for mine, known in v:
-                if not known:
-                    at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
-                    hit = mine[found[at] == mine]
-                    if len(hit):
-                        rows.append((shard, hit.tobytes()))
+        for shard, first, known, mine in lists:
+            if not known:
+                at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
+                hit = np.flatnonzero(found[at] == mine)
+                if len(hit):
+                    rows.append((shard, (hit + first).astype(np.uint32).tobytes()))
     return pd.DataFrame(rows, columns=["shard", "hits"])
 
 
-def _finish_shard(length: int, gram: int):
-    """Last stage of one shard: removed runs and what is kept of each text."""
-
-    def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        hits = [h for h in told["hits"] if h is not None]
-        found = np.sort(np.concatenate([np.frombuffer(h, "S13") for h in hits])) if hits else np.zeros(0, "S13")
-        marks, rows = told[told["key"].notna()], []
-        text_of = {bytes(k): t for k, t in zip(texts["key"], texts["text"], strict=True) if _digest_key(bytes(t)) == bytes(k)}
-        for key, starts, ends, waits, wait_ends in zip(*(marks[c] for c in ("key", "starts", "ends", "waits", "wait_ends")), strict=True):
-            text = text_of[bytes(key)]
-            raw, gone = np.frombuffer(text, np.uint8), np.zeros(len(text), bool)
-            for a, b in zip(starts, ends, strict=True):
-                gone[a:b] = True
-            if len(found):
-                for a, b in zip(waits, wait_ends, strict=True):
-                    part = raw[a : b + length - 1]
-                    d, e = window_digests(part, length, 0), (window_digests(part, length, 1) >> np.uint64(32)).astype(np.uint32)
-                    mine = _as_bytes(d.tobytes(), e.tobytes())
-                    at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
-                    for k in np.flatnonzero(found[at] == mine):
-                        gone[a + k : a + k + length] = True
-            s, e = _runs(gone)
-            if len(s):
-                rows.append((key, int(gone.sum()), s, e, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-        return pd.DataFrame(rows, columns=["key", "n_removed", "starts", "ends", "kept_sha256"])
+def _finish_shard(length: int):
+    """Last stage of one shard: removed runs of each text."""
+
+    def run(marks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        hits = np.concatenate([np.frombuffer(h, np.uint32) for h in told["hits"]]) if len(told) else np.zeros(0, np.uint32)
+        rows = []
+        for key, starts, ends, waits, wait_ends, listed in zip(*(marks[c] for c in ("key", "starts", "ends", "waits", "wait_ends", "listed")), strict=True):
+            starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+            if len(hits) and len(waits):
+                size = np.asarray(wait_ends, np.int64) - np.asarray(waits, np.int64)
+                at = np.arange(int(size.sum())) + np.repeat(np.asarray(waits, np.int64) - np.cumsum(size) + size, size)
+                more = at[np.isin(np.frombuffer(listed, np.uint32), hits)]
+                starts, ends = np.concatenate([starts, more]), np.concatenate([ends, more + length])
+            if len(starts):
+                order = np.argsort(starts, kind="stable")
+                starts, ends = starts[order], np.maximum.accumulate(ends[order])
+                new = np.append(True, starts[1:] > ends[:-1])
+                starts, ends = starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
+                rows.append((key, int((ends - starts).sum()), starts, ends))
+        return pd.DataFrame(rows, columns=["key", "n_removed", "starts", "ends"])
 
     return run
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digest of what the removed runs leave of each text."""
     for pdf in batches:
-        yield pd.DataFrame({"key": [_digest_key(bytes(t)) for t in pdf["text"]], "text": pdf["text"]})
+        out = []
+        for key, text, starts, ends in zip(*(pdf[c] for c in ("key", "text", "starts", "ends")), strict=True):
+            if _digest_key(text := bytes(text)) == bytes(key):
+                sha, at = hashlib.sha256(), 0
+                for a, b in zip(starts, ends, strict=True):
+                    sha.update(text[at:a])
+                    at = b
+                sha.update(text[at:])
+                out.append((key, sha.hexdigest()))
+        yield pd.DataFrame(out, columns=["key", "kept_sha256"])
 
 
-def _own_texts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows whose text has the row's key, each key once: an id that names several texts brings all of them."""
-    right = [_digest_key(bytes(t)) == bytes(k) for t, k in zip(pdf["text"], pdf["key"], strict=True)]
-    return pdf[np.asarray(right, bool)].drop_duplicates("key").sort_values("key", ignore_index=True)
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"key": [_digest_key(bytes(t)) for t in pdf["text"]], "text": pdf["text"]})
 
 
 def scan_rows(df: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
@@ -401,21 +430,28 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     listed = placed.join(far, "hash").groupBy("key", "shard").agg(F.collect_list("at").alias("at"), F.filter(F.collect_list(F.when(F.col("far"), F.col("at"))), lambda x: x.isNotNull()).alias("far"))
     listed = scratch.put(listed.join(dealt.select("key", "rep"), "key"))
     scratch.drop(held, chosen)
-    source = df.select(F.col(id_col).alias("_r"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    # texts that no shard wants are left out before they are shuffled, as long as the list of wanted ids is small
-    if dealt.count() <= SMALL_LIST:
-        source = source.join(F.broadcast(dealt.select(F.col("rep").alias("_w")).distinct()), F.col("_r").eqNullSafe(F.col("_w")), "left_semi")
-    mine = source.join(listed, F.col("_r") == F.col("rep")).select("shard", "key", "text", "at", "far")
-    if not (nameless := listed.where("rep is null")).isEmpty():
-        mine = mine.union(source.where("_r is null").mapInPandas(_keyed, "key binary, text binary").dropDuplicates(["key"]).join(nameless, "key").select("shard", "key", "text", "at", "far"))
-    work = scratch.put(mine)
-    schema = "shard bigint, key binary, starts array<bigint>, ends array<bigint>, waits array<bigint>, wait_ends array<bigint>, part int, d64 binary, d32 binary, known boolean"
-    found = scratch.put(work.groupBy("shard").applyInPandas(_search_shard(length, gram, ranges), schema))
-    hits = found.where("part >= 0").select("part", "shard", "d64", "d32", "known").groupBy("part").applyInPandas(_merge_range, "shard bigint, hits binary")
-    marks = found.where("part < 0").select("shard", "key", "starts", "ends", "waits", "wait_ends", F.lit(None).cast("binary").alias("hits"))
-    told = hits.select("shard", F.lit(None).cast("binary").alias("key"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("starts", "ends", "waits", "wait_ends")), "hits")
-    done = scratch.put(work.select("shard", "key", "text").groupBy("shard").cogroup(marks.union(told).groupBy("shard")).applyInPandas(_finish_shard(length, gram), "key binary, n_removed bigint, starts array<bigint>, ends array<bigint>, kept_sha256 string"))
-    scratch.drop(work, found, listed)
+    source = df.select(F.col(f"`{id_col}`").alias("_r"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    # an id that names several rows does not find a text: then texts are found by their digests, each once
+    several = not rows.groupBy("_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The texts of (key, rep, ...), each key once."""
+        if several:
+            return wanted.join(source.where(F.length("text") >= length).mapInPandas(_keyed, "key binary, text binary").dropDuplicates(["key"]), "key").drop("rep")
+        size = wanted.agg(F.sum(16 + F.length(F.coalesce(F.col("rep").cast("string"), F.lit("")))).alias("s")).first()["s"] or 0
+        # texts that nobody wants are left out before they are shuffled, as long as the list of wanted ids is small
+        mine = source if size > SMALL_LIST else source.join(F.broadcast(wanted.select(F.col("rep").alias("_w"))), F.col("_r").eqNullSafe(F.col("_w")), "left_semi")
+        return mine.join(wanted, F.col("_r").eqNullSafe(F.col("rep"))).drop("_r", "rep")
+
+    cut = texts_of(listed).select("shard", "key", "text", "at", "far").mapInPandas(_cutter(length, gram), "shard bigint, key binary, raw binary, begins array<bigint>, sizes array<bigint>, far array<bigint>")
+    found = scratch.put(cut.groupBy("shard").applyInPandas(_search_shard(length, gram, ranges), FOUND))
+    told = found.where("part >= 0").select("part", "shard", "at", "d64", "d32", "known").groupBy("part").applyInPandas(_merge_range, "shard bigint, hits binary")
+    marks = found.where("part < 0").select("shard", "key", "starts", "ends", "waits", "wait_ends", "listed")
+    runs = scratch.put(marks.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(_finish_shard(length), "key binary, n_removed bigint, starts array<bigint>, ends array<bigint>"))
+    scratch.drop(found, listed)
+    # a text that repeats goes whole, so only texts that stand alone have a rest
+    partly = runs.join(texts.where("copies = 1").select("key", "rep"), "key").select("key", "rep", "starts", "ends")
+    done = runs.join(scratch.put(texts_of(partly).select("key", "text", "starts", "ends").mapInPandas(_rest, "key binary, kept_sha256 string")), "key")
     state = texts.where("copies > 1").select("key", F.lit(True).alias("whole"))
     full = rows.select("_id", "key", "n_bytes", "sha").join(done, "key", "left").join(state, "key", "left")
     whole, none = F.coalesce("whole", F.lit(False)), F.array().cast("array<bigint>")
