@@ -145,24 +145,49 @@ def best_by_hand(docs, asked, k):
     return {q: v for q, v in out.items() if v}
 
 
-@pytest.mark.parametrize(("shard", "block", "asked_at_once"), [(10_000, 64, 4096), (37, 4, 5)])
-def test_search_is_exact(spark, monkeypatch, shard, block, asked_at_once):
-    for name, v in (("SHARD", shard), ("BLOCK", block), ("QUERIES", asked_at_once)):
+@pytest.mark.parametrize(("shard", "size", "block", "asked_at_once"), [(10_000, 1 << 20, 64, 1 << 20), (37, 1 << 20, 4, 9_000), (10_000, 5_000, 2, 20_000)])
+def test_search_is_exact(spark, monkeypatch, shard, size, block, asked_at_once):
+    for name, v in (("SHARD", shard), ("SHARD_BYTES", size), ("BLOCK", block), ("QUERY_BYTES", asked_at_once)):
         monkeypatch.setattr(bm25, name, v)
     docs = [(k, " ".join(plain(rng.randrange(1, 60)))) for k in range(200)] + [(900 + k, "same words here") for k in range(15)] + [(990, None), (991, "")]
-    asked = [(k, docs[k][1]) for k in range(0, 200, 20)] + [(990, None), (991, ""), (992, "unknownword"), (993, "same words tonda tonda")]
-    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, score int")
+    docs += [(7, docs[7][1])] * 3 + [(7, "another text of one id"), (None, docs[20][1])] + [(950, " ".join(plain(4000)))]
+    asked = [(k, docs[k][1]) for k in range(0, 200, 20)] + [(990, None), (991, ""), (992, "unknownword"), (993, "same words tonda tonda"), (None, "same"), (950, docs[-1][1])]
+    d = spark.createDataFrame([(*x, 1, 2, "q") for x in docs], "doc_id long, text string, score int, rank int, query_id string")
     got = defaultdict(list)
     for r in bm25.top_k(d, spark.createDataFrame(asked, "query_id long, query string"), 10).collect():
         got[r["query_id"]].append((r["rank"], r["score"], r["doc_id"]))
-    want = best_by_hand([(i, t or "") for i, t in docs], [(q, t or "") for q, t in asked], 10)
+    want = best_by_hand([(-1 if i is None else i, t or "") for i, t in docs], [(q, t or "") for q, t in asked if q is not None], 10)
     assert set(got) == set(want)
     for q, rows in got.items():
         rows.sort()
-        assert [r[2] for r in rows] == [i for _, i in want[q]]
+        assert [-1 if r[2] is None else r[2] for r in rows] == [i for _, i in want[q]]
         assert [r[1] for r in rows] == pytest.approx([-s for s, _ in want[q]], abs=1e-5)
 
 
+def test_pivots_leave_most_postings_unread(monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK", 16)
+    topics = [[f"{a}{k}" for k in range(40)] for a in "abcdefgh"]
+    texts = [" ".join([*rng.choices(rng.choice(topics), k=30), "the", "of"]).encode() for _ in range(2000)]
+    order, made = bm25.build(texts, np.ones(len(texts), np.int64))
+    index = bm25.Index(made, 32.0)
+    held = np.diff(index.offsets)
+    idf = np.log(1 + (len(texts) - held + 0.5) / (held + 0.5))
+    every = 0
+    for text in texts[::100]:
+        _, terms, counts = next(bm25.term_counts([text]))
+        at = np.searchsorted(index.terms, terms)
+        weights = counts * idf[at]
+        found, score, limit = index.search(terms, weights, 10)
+        exact = np.zeros(len(texts))
+        for t, w in zip(at, weights, strict=True):
+            posts = slice(index.offsets[t], index.offsets[t + 1])
+            exact[index.docs[posts]] += w * index.impact[posts]
+        every += int(held[at].sum())
+        best = np.sort(exact)[::-1][:10]
+        assert np.allclose(np.sort(score)[::-1][:10], best) and limit == pytest.approx(best[-1]) and np.allclose(exact[found], score)
+    assert index.scored < 0.6 * every and index.scored + index.looked < 0.9 * every
+
+
 def test_search_over_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, query string")
