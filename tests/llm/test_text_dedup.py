@@ -4,7 +4,7 @@ import helpers
 import numpy as np
 import pytest
 
-from vertexloom.llm import decontaminate, minhash, suffix_dedup
+from vertexloom.llm import common, decontaminate, minhash, suffix_dedup
 
 rng = random.Random(8)
 VOCABULARY = [f"w{k}" for k in range(400)]
@@ -98,12 +98,17 @@ def test_suffix_arrays_and_prefixes_by_definition(alphabet):
 @pytest.mark.parametrize("shard", [1 << 20, 300])
 def test_repeated_spans_agree_with_counting_all_strings(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    if shard == 300:  # every repeated string counts as hot
+        monkeypatch.setattr(common, "HOT_PART", 100)
+        monkeypatch.setattr(common, "SALT", 1)
     monkeypatch.setattr(suffix_dedup, "RANGE", shard)
     passage = " ".join(words(20))
     texts = [" ".join(words(30)) for _ in range(12)]
     texts += [f"{x} {passage} {y}" for x, y in zip(texts[:6], texts[6:], strict=True)]
     texts += [texts[0], texts[0], None, "", "\u00e9\u4e2d" * 40, "ab" * 100, "x", texts[3] + "!"]
-    df = spark.createDataFrame([(k if k % 5 else None, t, b"k") for k, t in enumerate(texts)], "doc_id long, text string, key binary")
+    texts += [" ".join(words(1500)) + passage] * (shard == 300)
+    ids = [k if k % 5 else None for k in range(len(texts))] if shard == 300 else range(len(texts))
+    df = spark.createDataFrame([(k, t, b"k", 1) for k, t in zip(ids, texts, strict=True)], "doc_id long, text string, key binary, shard int")
     got = [tuple(r) for r in suffix_dedup.repeated_spans(df, 50, gram=8).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got) == sorted(helpers.repeated_bytes(texts, 50))
 

@@ -43,6 +43,26 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: A key is hot if it holds more than this part of all rows; so many tasks share a hot key's rows.
+HOT_PART, SALT = 2_000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, count: str) -> list:
+    """Keys that hold more than a ``HOT_PART``-th of the counted rows, so never more than ``HOT_PART``."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(count) * HOT_PART > F.lit(total)).select(key).collect()] if total > HOT_PART * SALT else []
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list, spread: str) -> DataFrame:
+    """Inner join on ``key`` of ``many`` rows with ``one`` row for each key; rows of hot keys are dealt over tasks by a hash of ``spread``."""
+    if not hot:
+        return many.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    dealt = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALT))).otherwise(F.lit(0)).cast("int"))
+    copies = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64, elementwise."""
     h = h.astype(np.uint64, copy=True)

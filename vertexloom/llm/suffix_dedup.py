@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import mix, over_rows
+from vertexloom.llm.common import hot_keys, mix, over_rows, salted_join
 from vertexloom.plans.runtime import Scratch
 
 LENGTH, GRAM = 400, 32
@@ -344,14 +344,19 @@ def _finish_shard(length: int):
     """Last stage of one shard: removed runs of each text."""
 
     def run(marks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        hits = np.concatenate([np.frombuffer(h, np.uint32) for h in told["hits"]]) if len(told) else np.zeros(0, np.uint32)
-        rows = []
+        rows, hits = [], [np.frombuffer(h, np.uint32) for h in told["hits"]]
+        found = np.zeros(max((int(h.max()) for h in hits), default=-1) + 1, bool)
+        for h in hits:
+            found[h] = True
         for key, starts, ends, waits, wait_ends, listed in zip(*(marks[c] for c in ("key", "starts", "ends", "waits", "wait_ends", "listed")), strict=True):
             starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-            if len(hits) and len(waits):
+            if len(found) and len(waits):
                 size = np.asarray(wait_ends, np.int64) - np.asarray(waits, np.int64)
                 at = np.arange(int(size.sum())) + np.repeat(np.asarray(waits, np.int64) - np.cumsum(size) + size, size)
-                more = at[np.isin(np.frombuffer(listed, np.uint32), hits)]
+                places = np.frombuffer(listed, np.uint32)
+                known = places < len(found)
+                known[known] = found[places[known]]
+                more = at[known]
                 starts, ends = np.concatenate([starts, more]), np.concatenate([ends, more + length])
             if len(starts):
                 order = np.argsort(starts, kind="stable")
@@ -414,20 +419,22 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     once = scanned.join(named, (F.col("key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", F.explode(F.arrays_zip("at", "hash")).alias("x"))
     pairs = scratch.put(once.select("key", F.col("x.at").cast("int").alias("at"), F.col("x.hash").alias("hash")))
     scratch.drop(scanned)
-    again = pairs.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    held = scratch.put(pairs.join(again, "hash"))
-    scratch.drop(pairs)
+    again = scratch.put(pairs.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"))
+    # a string that many texts share has its rows dealt over many tasks
+    hot = hot_keys(again, "hash", "c")
+    held = scratch.put(salted_join(pairs, again.select("hash"), "hash", hot, "key"))
+    scratch.drop(pairs, again)
     chosen = held.groupBy("key").agg(F.min("hash").alias("lead"), F.count("*").alias("n")).join(texts.select("key", "n_bytes", "rep"), "key")
     # what a text brings to a shard is at most its bytes, and at most all surroundings of its anchors
     chosen = scratch.put(chosen.withColumn("weight", F.least("n_bytes", F.col("n") * (2 * length - gram))))
     total = chosen.agg(F.sum("weight")).first()[0] or 0
     shards, ranges = max(1, -(-total // SHARD)), max(1, -(-total // RANGE))
-    groups = chosen.groupBy("lead").agg(F.ceil(F.sum("weight") / F.lit(SHARD)).alias("pieces"))
+    groups = scratch.put(chosen.groupBy("lead").agg(F.ceil(F.sum("weight") / F.lit(SHARD)).alias("pieces"), F.count("*").alias("c")))
     spread = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("pieces"))), F.lit(shards))).otherwise(F.pmod(F.xxhash64("lead"), F.lit(shards)))
-    dealt = scratch.put(chosen.join(groups, "lead").select("key", "rep", spread.alias("shard")))
+    dealt = scratch.put(salted_join(chosen, groups, "lead", hot_keys(groups, "lead", "c"), "key").select("key", "rep", spread.alias("shard")))
     placed = held.join(dealt.select("key", "shard"), "key")
     far = placed.groupBy("hash").agg((F.min("shard") != F.max("shard")).alias("far"))
-    listed = placed.join(far, "hash").groupBy("key", "shard").agg(F.collect_list("at").alias("at"), F.filter(F.collect_list(F.when(F.col("far"), F.col("at"))), lambda x: x.isNotNull()).alias("far"))
+    listed = salted_join(placed, far, "hash", hot, "key").groupBy("key", "shard").agg(F.collect_list("at").alias("at"), F.filter(F.collect_list(F.when(F.col("far"), F.col("at"))), lambda x: x.isNotNull()).alias("far"))
     listed = scratch.put(listed.join(dealt.select("key", "rep"), "key"))
     scratch.drop(held, chosen)
     source = df.select(F.col(f"`{id_col}`").alias("_r"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
