@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.functions.hashing import hash32, uniform
 from vertexloom.graph import Graph
-from vertexloom.plans.runtime import Scratch
+from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 
 #: Share of uncoloured vertices below which lazy pruning removes edges.
 LAZY_SHARE = 0.01
@@ -30,10 +30,11 @@ def color(graph: Graph, algorithm: str = "luby", finish: str = "parallel", prune
     if algorithm != "luby":
         raise ValueError(f"unknown algorithm {algorithm}")
     scratch = Scratch(graph.spark, "color")
-    edges = scratch.put(simple.edges.select("src", "dst").repartition("src"))
-    rest = scratch.put(simple.vertices.select("id"))
-    total = rest.count()
-    left, done, lazy = total, None, prune == "lazy"
+    edges = Adjacency(scratch, simple.edges.select("src", "dst"))
+    seen, counted = Observation(), F.count(F.lit(1)).alias("n")
+    rest = scratch.put(simple.vertices.select("id").repartition(buckets(graph.spark), "id").observe(seen, counted), by=["id"])
+    total = left = seen.get["n"] or 0
+    done, lazy, degree = None, prune == "lazy", None
 
     def add(found: DataFrame) -> None:
         nonlocal done
@@ -42,37 +43,43 @@ def color(graph: Graph, algorithm: str = "luby", finish: str = "parallel", prune
     for k in range(max_rounds):
         if not left:
             break
+        # every uncoloured vertex tells its neighbours that it is there
+        near = edges.meet(rest).select(F.col("e.dst").alias("id"), F.col("e.src").alias("near"))
         if finish == "local":
-            live = edges.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi") if lazy else edges
+            live = near.join(rest, "id", "left_semi").select(F.col("id").alias("src"), F.col("near").alias("dst"))
             if live.count() <= local_threshold:
-                add(_local(graph.spark, rest, live, k))
+                linked = live.select(F.col("src").alias("id")).distinct()
+                add(scratch.put(rest.join(linked, "id", "left_anti").withColumn("color", F.lit(k))))
+                add(_local(graph.spark, live, k))
                 break
-        degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
-        drawn = rest.join(degree, "id", "left").where(F.col("deg").isNull() | (uniform(F.col("id"), F.lit(k), F.lit(seed)) < 1 / (2 * F.col("deg"))))
-        drawn = scratch.put(drawn.select("id"))
-        beaten = edges.join(drawn.select(F.col("id").alias("src")), "src").join(drawn.select(F.col("id").alias("dst")), "dst").where("src < dst").select(F.col("dst").alias("id"))
-        won = scratch.put(drawn.join(beaten, "id", "left_anti").withColumn("color", F.lit(k)))
-        add(won)
-        after = scratch.put(rest.join(won.select("id"), "id", "left_anti"))
+        # pruning late leaves the degrees of the first round as they were
+        if degree is None or not lazy:
+            held = near.groupBy("id").agg(F.count("*").alias("deg"))
+            degree = scratch.put(held.repartition(buckets(graph.spark), "id"), by=["id"]) if lazy else held
+        seen = Observation()
+        with in_place(graph.spark):
+            drawn = rest.join(degree, "id", "left").where(F.col("deg").isNull() | (uniform(F.col("id"), F.lit(k), F.lit(seed)) < 1 / (2 * F.col("deg"))))
+            drawn = scratch.put(drawn.select("id"), by=["id"])
+            beaten = edges.meet(drawn).where("e.src < e.dst").select(F.col("e.dst").alias("id")).distinct()
+            won = scratch.put(drawn.join(beaten, "id", "left_anti").withColumn("color", F.lit(k)), by=["id"])
+            add(won)
+            after = scratch.put(rest.join(won.select("id"), "id", "left_anti").observe(seen, counted), by=["id"])
         scratch.drop(rest, drawn)
-        rest, left = after, after.count()
-        if lazy and left >= LAZY_SHARE * total:
-            continue
-        gone = won if not lazy else done
-        lazy = False
-        kept = scratch.put(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"))
-        scratch.drop(edges)
-        edges = kept
+        rest, left = after, seen.get["n"] or 0
+        if lazy and left < LAZY_SHARE * total:
+            lazy = False
     else:
         if left:
             raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
+    edges.drop()
     return done if done is not None else rest.withColumn("color", F.lit(0))
 
 
-def _local(spark, rest: DataFrame, edges: DataFrame, start: int) -> DataFrame:
-    near: dict[int, list[int]] = {r["id"]: [] for r in rest.collect()}
+def _local(spark, edges: DataFrame, start: int) -> DataFrame:
+    """Colours of the ends of a bounded number of edges, each listed both ways; vertices without edges never come here."""
+    near: dict[int, list[int]] = {}
     for e in edges.collect():
-        near[e["src"]].append(e["dst"])
+        near.setdefault(e["src"], []).append(e["dst"])
     found: dict[int, int] = {}
     for v in sorted(near):
         used = {found[u] for u in near[v] if u in found}

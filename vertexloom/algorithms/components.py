@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.stars import star_components
-from vertexloom.plans.runtime import Scratch
+from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 from vertexloom.plans.superstep import pregel
 
 
@@ -59,24 +59,25 @@ def _hook_and_shortcut(graph: Graph, max_iter: int) -> DataFrame:
     Stops when neither step changes a label, which is sound on any input.
     """
     scratch = Scratch(graph.spark, "sv")
-    edges = scratch.put(graph.edges.select("src", "dst").where("src <> dst").repartition("src"))
-    tree = scratch.put(graph.vertices.select("id", F.col("id").alias("d")))
+    edges = Adjacency(scratch, graph.edges.select("src", "dst").where("src <> dst"))
+    tree = scratch.put(graph.vertices.select("id", F.col("id").alias("d")).repartition(buckets(graph.spark), "id"), by=["id"])
     for _ in range(max_iter):
-        near = edges.join(tree.withColumnRenamed("id", "dst").withColumnRenamed("d", "nd"), "dst").groupBy("src").agg(F.min("nd").alias("nd"))
-        hooks = tree.join(near, tree["id"] == near["src"]).where("nd < d").groupBy(F.col("d").alias("root")).agg(F.min("nd").alias("to"))
-        hooked = tree.join(hooks, tree["id"] == hooks["root"], "left").select("id", F.least("d", F.coalesce("to", "d")).alias("h"), "d")
-        hooked = scratch.put(hooked)
-        up = hooked.select(F.col("id").alias("p"), F.col("h").alias("g"))
-        new = scratch.put(hooked.join(up, hooked["h"] == up["p"]).select("id", F.col("g").alias("d"), (F.col("g") != hooked["d"]).alias("changed")))
+        near = edges.meet(tree).select(F.col("e.dst").alias("_to"), F.col("d").alias("nd")).groupBy("_to").agg(F.min("nd").alias("nd"))
+        hooks = tree.join(near, F.col("id") == F.col("_to")).where("nd < d").groupBy(F.col("d").alias("root")).agg(F.min("nd").alias("to"))
+        kept = tree.join(hooks, F.col("id") == F.col("root"), "left").select("id", F.least("d", F.coalesce("to", "d")).alias("h"), "d")
+        seen = Observation()
+        with in_place(graph.spark):
+            hooked = scratch.put(kept, by=["id"])
+            up = hooked.select(F.col("id").alias("p"), F.col("h").alias("g"))
+            new = hooked.join(up, F.col("h") == F.col("p")).select("id", F.col("g"), "d").observe(seen, F.sum((F.col("g") != F.col("d")).cast("long")).alias("moved"))
+            new = scratch.put(new.select("id", F.col("g").alias("d")).repartition(buckets(graph.spark), "id"), by=["id"])
         scratch.drop(tree, hooked)
-        moved = new.where("changed").isEmpty()
-        tree = new.select("id", "d")
-        tree._vertexloom_path = new._vertexloom_path
-        if moved:
+        tree = new
+        if not seen.get["moved"]:
             break
     else:
         raise RuntimeError(f"trees did not settle in {max_iter} rounds")
-    scratch.drop(edges)
+    edges.drop()
     return tree.withColumnRenamed("d", "label")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.functions.hashing import geometric, lowest_zero
 from vertexloom.graph import Graph
-from vertexloom.plans.runtime import Scratch
+from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 
 #: Fixed value: the correction of the estimator.
 PHI = 0.77351
@@ -25,18 +25,24 @@ def neighbourhood_function(graph: Graph, max_hops: int = 13, k: int = 10, seed:
     """
     scratch = Scratch(graph.spark, "hops")
     masks = [f"b{j}" for j in range(k)]
-    edges = scratch.put(graph.edges.select("src", "dst").repartition("src"))
-    state = scratch.put(graph.vertices.select("id", *(F.pow(F.lit(2.0), geometric(F.col("id"), F.lit(j), F.lit(seed))).cast("long").alias(m) for j, m in enumerate(masks))))
-    counts = [(0, state.agg(F.sum(_pairs(k))).first()[0] or 0)]
+    edges = Adjacency(scratch, graph.edges.select("src", "dst"))
+    state = graph.vertices.select("id", *(F.pow(F.lit(2.0), geometric(F.col("id"), F.lit(j), F.lit(seed))).cast("long").alias(m) for j, m in enumerate(masks)))
+    seen, sized = Observation(), F.sum(_pairs(k)).alias("pairs")
+    state = scratch.put(state.repartition(buckets(graph.spark), "id").observe(seen, sized), by=["id"])
+    counts = [(0, seen.get["pairs"] or 0)]
     for hop in range(1, max_hops + 1):
-        mail = state.join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(*(F.bit_or(m).alias(f"n{m}") for m in masks))
-        after = scratch.put(state.join(mail, F.col("id") == F.col("dst"), "left").select("id", *(F.col(m).bitwiseOR(F.coalesce(f"n{m}", F.lit(0))).alias(m) for m in masks)))
+        mail = edges.meet(state).select(F.col("e.dst").alias("_to"), *masks).groupBy("_to").agg(*(F.bit_or(m).alias(f"n{m}") for m in masks))
+        new = state.join(mail, F.col("id") == F.col("_to"), "left").select("id", *(F.col(m).bitwiseOR(F.coalesce(f"n{m}", F.lit(0))).alias(m) for m in masks))
+        seen = Observation()
+        with in_place(graph.spark):
+            after = scratch.put(new.observe(seen, sized), by=["id"])
         scratch.drop(state)
         state = after
-        counts.append((hop, state.agg(F.sum(_pairs(k))).first()[0] or 0))
+        counts.append((hop, seen.get["pairs"] or 0))
         if tol is not None and counts[-1][1] < counts[-2][1] * (1 + tol):
             break
-    scratch.drop(state, edges)
+    scratch.drop(state)
+    edges.drop()
     return graph.spark.createDataFrame(counts, "hop int, pairs long")
 
 

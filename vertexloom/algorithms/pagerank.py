@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.plans.runtime import Scratch
+from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 
 #: Updates after which a run with ``tol`` that has not settled fails.
 MOST_UPDATES = 10_000
@@ -31,31 +31,33 @@ def pagerank(graph: Graph, max_iter: int = 10, damping: float = 0.85, normalized
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
     base, first = ((1 - damping) / n, 1.0 / n) if normalized else (1 - damping, 1.0)
     spread = dangling == "redistribute"
-    edges = scratch.put(graph.edges.select("src", "dst").repartition("src"))
-    state = scratch.put(graph.vertices.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(first).alias("rank"), F.lit(True).alias("act")))
+    edges = Adjacency(scratch, graph.edges.select("src", "dst"))
+    state = graph.vertices.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(first).alias("rank"), F.lit(True).alias("act"))
+    dangling_rank = F.sum(F.when(F.col("deg") == 0, F.col("rank"))).alias("lost")
+    seen = Observation()
+    state = scratch.put(state.repartition(buckets(graph.spark), "id").observe(seen, dangling_rank), by=["id"])
     for _ in range(max_iter if tol is None else MOST_UPDATES):
-        lost = state.where("deg = 0").agg(F.sum("rank")).first()[0] or 0.0 if spread else 0.0
-        if tol is None:
-            wanted = edges
-        else:
-            wanted = edges.join(state.where("act").select(F.col("id").alias("dst")), "dst", "left_semi")
-        mail = state.where("deg > 0").join(wanted, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
+        lost = seen.get["lost"] or 0.0 if spread else 0.0
+        mail = edges.meet(state.where("deg > 0")).select(F.col("e.dst").alias("_to"), (F.col("rank") / F.col("deg")).alias("x")).groupBy("_to").agg(F.sum("x").alias("m"))
         share = damping * lost / n if normalized else damping * lost
         value = F.lit(base) + damping * F.coalesce("m", F.lit(0.0)) + F.lit(share)
-        new = state.join(mail, F.col("id") == F.col("dst"), "left")
-        if tol is None:
-            after = scratch.put(new.select("id", "deg", value.alias("rank"), "act"))
-            scratch.drop(state)
-            state = after
-            continue
-        moved = scratch.put(new.select("id", "deg", F.when(F.col("act"), value).otherwise(F.col("rank")).alias("rank"), (F.col("act") & (F.abs(value - F.col("rank")) > tol)).alias("moved")))
-        woken = moved.where("moved").select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("w")).distinct()
-        after = scratch.put(moved.join(woken, F.col("id") == F.col("w"), "left").select("id", "deg", "rank", F.col("w").isNotNull().alias("act")))
-        scratch.drop(state, moved)
+        new = state.join(mail, F.col("id") == F.col("_to"), "left")
+        seen = Observation()
+        with in_place(graph.spark):
+            if tol is None:
+                after = scratch.put(new.select("id", "deg", value.alias("rank"), "act").observe(seen, dangling_rank), by=["id"])
+            else:
+                moved = scratch.put(new.select("id", "deg", F.when(F.col("act"), value).otherwise(F.col("rank")).alias("rank"), (F.col("act") & (F.abs(value - F.col("rank")) > tol)).alias("moved")), by=["id"])
+                woken = edges.meet(moved.where("moved").select("id")).select(F.col("e.dst").alias("w")).distinct()
+                next_ = moved.join(woken, F.col("id") == F.col("w"), "left").select("id", "deg", "rank", F.col("w").isNotNull().alias("act"))
+                after = scratch.put(next_.observe(seen, dangling_rank, F.sum(F.col("act").cast("long")).alias("acts")), by=["id"])
+                scratch.drop(moved)
+        scratch.drop(state)
         state = after
-        if state.where("act").isEmpty():
+        if tol is not None and not seen.get["acts"]:
             break
     else:
         if tol is not None:
             raise RuntimeError(f"ranks did not settle in {MOST_UPDATES} updates")
+    edges.drop()
     return state.select("id", "rank")

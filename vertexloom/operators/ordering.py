@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.hashing import hash32
@@ -22,14 +22,16 @@ def order_numbers(df: DataFrame, *keys: str, name: str = "order_no", partitions:
     repeatable order among equal ones.
     """
     scratch = Scratch(df.sparkSession, "sort")
-    ranged = scratch.put(sample_sort(df, *keys, partitions=partitions).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["c"] for r in ranged.groupBy("_part").agg(F.count("*").alias("c")).collect()}
+    # rows are numbered where the sort leaves them: partition and place are the parts of one number
+    ranged = scratch.put(sample_sort(df, *keys, partitions=partitions).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["c"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect()}
     start, at = {}, 0
     for p in sorted(counts):
         start[p], at = at, at + counts[p]
-    before = df.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "_part int, _before long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    return ranged.withColumn("_place", place).join(before, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    # one row for each range partition
+    before = F.broadcast(df.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "_part int, _before long"))
+    return ranged.join(before, part == F.col("_part")).withColumn(name, F.col("_before") + place).drop("_part", "_at", "_before")
 
 
 def pick_one(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:

@@ -11,15 +11,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.plans.runtime import Scratch, settings
-
-#: Up to so many edges and shuffle partitions, re-planning each stage costs more than it saves.
-SMALL_EDGES, SMALL_PARTITIONS = 5_000_000, 32
+from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 
 
 @dataclass
@@ -127,17 +125,15 @@ def pregel(
     values given to ``stop`` and ``hook``.
     """
     scratch = scratch or Scratch(graph.spark, "pregel")
-    edges = scratch.put(graph.edges.repartition("src" if direction != "in" else "dst"))
-    state = scratch.put(graph.vertices.select("id", *(c.alias(k) for k, c in init.items())).withColumn("_active", start if start is not None else F.lit(True)))
+    # edges are laid out once by the end that sends; state lies by id: only messages travel
+    ends = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+    sides = [(Adjacency(scratch, graph.edges, here), there) for here, there in ends]
+    state = scratch.put(graph.vertices.select("id", *(c.alias(k) for k, c in init.items())).withColumn("_active", start if start is not None else F.lit(True)).repartition(buckets(graph.spark), "id"), by=["id"])
     run = Run(state)
-    small = int(graph.spark.conf.get("spark.sql.shuffle.partitions")) <= SMALL_PARTITIONS and edges.count() <= SMALL_EDGES
-    replan = {"adaptive__enabled": "false"} if small else {}
     for number in range(1, max_iter + 1):
         began = time.perf_counter()
-        sent = messages_to(state.where("_active"), edges, message, direction)
-        if send_if is not None:
-            senders = state.alias("v").where(F.col("_active") & send_if).select("v.*")
-            sent = messages_to(senders, edges, message, direction)
+        senders = state.where("_active") if send_if is None else state.alias("v").where(F.col("_active") & send_if).select("v.*")
+        sent = reduce(DataFrame.union, [side.meet(senders).select(F.col(f"e.{there}").alias("id"), *(m.alias(k) for k, m in message.items())) for side, there in sides])
         mail = sent.groupBy("id").agg(*(c.alias(k) for k, c in combine.items()), F.count("*").alias("_mail"))
         full = state.join(mail, "id", "left")
         works = F.lit(True) if all_compute else F.col("_mail").isNotNull()
@@ -145,14 +141,13 @@ def pregel(
         # the counts that the stop test needs come from the job that writes the state
         counts = Observation()
         judged = new.withColumn("_active", F.coalesce(active, F.lit(False))).select("id", *init, "_active", "_mail")
-        with settings(graph.spark, **replan):
-            after = scratch.put(judged.observe(counts, F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items())))
+        with in_place(graph.spark):
+            after = scratch.put(judged.observe(counts, F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items())).drop("_mail"), by=["id"])
         seen = counts.get
         step = Step(number, {k: seen[f"agg_{k}"] for k in aggregates or {}}, seen["m"] or 0, seen["a"] or 0, time.perf_counter() - began)
         run.steps.append(step)
         scratch.drop(state)
-        state = after.drop("_mail")
-        state._vertexloom_path = after._vertexloom_path
+        state = after
         if hook:
             hook(step)
         if stop and stop(step):
@@ -163,7 +158,8 @@ def pregel(
             break
     else:
         run.reason = "max_iter"
-    scratch.drop(edges)
+    for side, _ in sides:
+        side.drop()
     run.vertices = state.select("id", *init)
     return run
 
