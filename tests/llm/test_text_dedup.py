@@ -150,8 +150,21 @@ def test_short_items_in_many_long_documents(spark):
     assert len(got) >= 600 and got == contained_by_hand(docs, items, 80)
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+def test_odd_items_and_clashing_columns(spark):
+    items = [(1, " ".join(words(9)), "x"), (2, ", . !", "x"), (3, " ".join(words(12)), "y")]
+    items += [items[0], (None, items[0][1], "z")]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in enumerate([items[0][1], "?! " + items[2][1], " ".join(words(4000)) + " " + items[0][1], "", None])], "doc_id long, text string, _hit int, _m long, _item int")
+    asked = spark.createDataFrame(items, "item_id long, text string, _t string")
+    got = [(r["doc_id"], r["item_id"], r["n_common"], r["n_item"]) for r in decontaminate.contained(df, asked).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, 8, 8), *((d, i, 5, 5) for d in (0, 2) for i in (1, 1, None))], key=str)
+    kept = decontaminate.clean(df, asked)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
+@pytest.mark.parametrize(("count", "size"), [(3, 1 << 20), (1000, 300)])
+def test_items_in_blocks(spark, monkeypatch, count, size):
+    monkeypatch.setattr(decontaminate, "BLOCK", count)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
     items = [(k, " ".join(words(20))) for k in range(10)]
     docs = [(k, " ".join(words(50)) + " " + items[k][1]) for k in range(10)]
     got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))

@@ -43,6 +43,14 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key is hot if it holds more than this part of all rows; so many tasks share a hot key's rows.
 HOT_PART, SALT = 2_000, 64
 

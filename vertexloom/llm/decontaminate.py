@@ -17,8 +17,9 @@ holds to 80 per cent misses all of them with probability below 1e-5 in the worst
 window and 1e-9 in most; windows overlap, so two see each item.  A candidate is
 verified by exact containment of the item's shingles in the whole document.
 
-Items travel to the executors in blocks of ``BLOCK`` items; more items mean more
-passes over the documents, never a larger task.
+Items travel to the executors in blocks of ``BLOCK`` items and ``BLOCK_BYTES`` bytes;
+more items mean more passes over the documents, one after another, never a larger
+task or driver.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import ALNUM, LOWER, batch_words, chunks, mix, over_rows, shingle_hashes, word_spans
+from vertexloom.llm.common import ALNUM, LOWER, batch_words, chunks, fresh, mix, over_rows, shingle_hashes, word_spans
+from vertexloom.plans.runtime import Scratch
 
 SIZE = 5
 HASHES = 64
-#: Items carried by one task, about 1 kB each.
-BLOCK = 50_000
+#: Items, and bytes of their texts, that one task carries, about.
+BLOCK, BLOCK_BYTES = 50_000, 16 << 20
 #: Shingles in the shortest pieces; partition p has pieces of STEP * 2**p.
 STEP = 32
 #: Items of up to so many distinct shingles are looked up by exact shingles.
@@ -205,21 +207,26 @@ def contained(df: DataFrame, items: DataFrame, percent: int = 80, id_col: str =
     """
     item_kind = items.schema[item_id].dataType.simpleString()
     docs = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.length("_t") > 0)
-    rows = items.select(F.col(item_id), F.col(item_text).cast("string").alias("_t")).where(F.length("_t") > 0)
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
+    # a repeated item is looked for once and reported as often as it stands there
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("_i"), F.col(f"`{item_text}`").cast("string").alias("_t")).where(F.length("_t") > 0).groupBy("_i", "_t").agg(F.count("*").alias("_m"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("_t")).alias("s")).first()
+    blocks = max(1, -(-size["n"] // BLOCK), -(-(size["s"] or 0) // BLOCK_BYTES))
+    scratch, found = Scratch(df.sparkSession, "contained"), []
     for b in range(blocks):
-        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_id, "_t"), F.lit(blocks)) == b)
-        carried = [(None if r[0] is None else str(r[0]), r[1]) for r in mine.select(F.col(item_id).cast("string"), "_t").collect()]
-        found = over_rows(docs, {id_col: id_col}, "_t", _finder(carried, percent, id_col, item_id), f"`{item_id}` string, n_common bigint, n_item bigint")
-        out = found if out is None else out.union(found)
-    return out.withColumn(item_id, F.col(item_id).cast(item_kind))
-
-
-def _finder(items: list[tuple[object, str]], percent: int, id_col: str, item_id: str):
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == b)
+        carried = [(r["_i"], r["_t"], r["_m"]) for r in mine.collect()]
+        part = over_rows(docs, {id_col: id_col}, "_t", _finder(carried, percent, id_col), "_item string, n_common bigint, n_item bigint, _m bigint")
+        # several blocks are worked off one by one, so that the driver holds one at a time
+        found.append(part if blocks == 1 else scratch.put(part))
+        del carried, part
+    out = found[0] if blocks == 1 else df.sparkSession.read.schema(found[0].schema).parquet(*(f._vertexloom_path for f in found))
+    out = out.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), "_m")))
+    return out.select(id_col, F.col("_item").cast(item_kind).alias(item_id), "n_common", "n_item")
+
+
+def _finder(items: list[tuple[str | None, str, int]], percent: int, id_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items, percent)
+        index, times = Index([x[:2] for x in items], percent), [x[2] for x in items]
         for pdf in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in pdf["_t"]]
             out = []
@@ -229,13 +236,18 @@ def _finder(items: list[tuple[object, str]], percent: int, id_col: str, item_id:
                 bounds = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
                 for k, item in index.candidates(np.concatenate(runs) if runs else words, bounds):
                     if common := index.verified(raw[a + k], runs[k], item):
-                        out.append((pdf[id_col].iloc[a + k], index.ids[item], common, len(index.shingles[item])))
-            yield pd.DataFrame(out, columns=[id_col, item_id, "n_common", "n_item"])
+                        out.append((pdf[id_col].iloc[a + k], index.ids[item], common, len(index.shingles[item]), times[item]))
+            yield pd.DataFrame(out, columns=[id_col, "_item", "n_common", "n_item", "_m"])
 
     return run
 
 
 def clean(df: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that hold no item; rows without an id are judged by no id and stay."""
-    hit = contained(df, items, percent, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return df.join(hit, F.col(f"`{id_col}`") == F.col("_hit"), "left_anti")
+    """The rows of ``df``, all columns, that hold no item; rows without an id are judged by no id and stay.
+
+    Null and empty texts hold nothing and stay; of rows that repeat an id all go if
+    one holds an item; an empty table on either side takes nothing away.
+    """
+    name = fresh("_hit", df)
+    hit = contained(df, items, percent, id_col, text_col).select(F.col(id_col).alias(name)).distinct()
+    return df.join(hit, F.col(f"`{id_col}`") == F.col(name), "left_anti")
