@@ -40,13 +40,13 @@ BASE = {
 
 #: Generators of the model: (kind, pattern, lower-case strings of which a matching text holds one; none: a digit).
 GENERATORS = [
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[a-z0-9-]{1,63}+){1,5}+", ["[at]", "(at)"]),
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ at [a-z0-9-]{1,63}+(?: dot [a-z0-9-]{1,63}+){1,5}+", [" dot "]),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[a-z0-9-]++(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[a-z0-9-]++)++", ["[at]", "(at)"]),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ at [a-z0-9-]++(?: dot [a-z0-9-]++)++", [" dot "]),
     ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", []),
     ("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]?[0-9]{2,4}[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])", []),
     ("ssn", r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])", []),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", []),
-    ("secret", r"(?i)(?<![a-z0-9])(?:token|api[_ -]?key|secret|password|passwd|pwd)[\"']?\s?[:=]\s?[\"']?[a-z0-9+/_.-]{8,256}+", ["token", "key", "secret", "passw", "pwd"]),
+    ("secret", r"(?i)(?<![a-z0-9])(?:token|api[_ -]?key|secret|password|passwd|pwd)[\"']?\s?[:=]\s?[\"']?[a-z0-9+/_.-]{8,}+", ["token", "key", "secret", "passw", "pwd"]),
 ]
 
 #: Strings that a text with a base match holds; none: a digit.
@@ -64,7 +64,9 @@ CONTEXT = {
 #: An address written with its signs spelt out, and common last labels of host names.
 MARKED = r"(?i)[\[(](at|dot)[\])]|\bdot\b"
 TLD = r"(?i)(dot|\.) ?(com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu)$"
-FEATURES = [*(f"is_{k}" for k in KINDS), "length", "digits", "letters", "separators", "distinct", "luhn", "year", "marked", "tld", *(f"near_{k}" for k in CONTEXT)]
+#: Digits in groups of three, two and four.
+TRIPLE = r"^[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}$"
+FEATURES = [*(f"is_{k}" for k in KINDS), "length", "digits", "letters", "separators", "distinct", "luhn", "year", "triple", "marked", "tld", *(f"near_{k}" for k in CONTEXT)]
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn; other strings and the empty one do not."""
@@ -133,6 +135,7 @@ def _features(span: Column, before: Column) -> dict[str, Column]:
         "distinct": F.size(F.array_distinct(F.split(m, ""))).cast("double"),
         "luhn": flag((F.length(plain) > 11) & luhn(plain)),
         "year": flag(m.rlike("^(19|20)[0-9]{2}[ ./-]")),
+        "triple": flag(m.rlike(TRIPLE)),
         "marked": flag(m.rlike(MARKED)),
         "tld": flag(m.rlike(TLD)),
     }
@@ -148,7 +151,7 @@ def local_features(kind: str, m: str, before: str) -> list[float]:
         total += d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
     row = [float(kind == k) for k in KINDS]
     row += [len(m), len(plain), len(re.sub("[^A-Za-z]", "", m)), len(re.sub("[A-Za-z0-9]", "", m)), len(set(m)), float(len(plain) > 11 and total % 10 == 0), float(bool(re.match("(19|20)[0-9]{2}[ ./-]", m)))]
-    row += [float(bool(re.search(MARKED, m))), float(bool(re.search(TLD, m)))]
+    row += [float(bool(re.search(TRIPLE, m))), float(bool(re.search(MARKED, m))), float(bool(re.search(TLD, m)))]
     return row + [float(bool(re.search(f"(?i){w}", before))) for w in CONTEXT.values()]
 
 
@@ -171,7 +174,7 @@ def training_rows(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         if kind in ("email", "ip"):
             kind = "email"
             at = pick(" [at] ", " (at) ", "[at]", " at ") if true else " at "
-            dot = pick(" [dot] ", " (dot) ", " dot ") if true and at == " at " else pick(" [dot] ", " dot ", ".") if true else pick(". ", ". ", ".")
+            dot = pick(" [dot] ", " (dot) ", " dot ") if true and at == " at " else pick(" [dot] ", " dot ", ".") if true else pick(". ", " dot ", ".")
             m = word(int(rng.integers(2, 9))) + at + word(int(rng.integers(2, 9))) + dot + (pick("com", "org", "net") if true else word(int(rng.integers(2, 7))))
             before += pick("mail ", "contact ", "") if true else ""
         elif kind == "card":
@@ -181,6 +184,9 @@ def training_rows(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         elif kind == "phone":
             m = pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}") if true else pick(f"{pick('19', '20')}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(4)} {num(4)}")
             before += pick("phone ", "call ", "tel ", "tel: ") if true else pick("order ", "date ", "sum ", "", "")
+            if not true and rng.integers(3) == 0:
+                m = f"{num(3)}{pick('-', ' ')}{num(2)}{pick('-', ' ')}{num(4)}"
+                before += pick("ssn ", "phone, ssn ", "call, social security ", "tel ")
         elif kind == "ssn":
             m = f"{num(3)}{pick('-', '-', ' ')}{num(2)}-{num(4)}"
             before += pick("ssn ", "social security ", "") if true else pick("part ", "serial ", "item ", "order ")
@@ -188,7 +194,13 @@ def training_rows(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             m = word(2).upper() + num(2) + "".join(pick("", " ") + num(4) for _ in range(int(rng.integers(3, 6)))) if true else word(2).upper() + num(2) + "".join(" " + word(4).upper() for _ in range(4))
             before += pick("iban ", "account ", "") if true else ""
         else:
-            m = pick('token = "', "api_key=", "secret: ", "password: ") + ("".join(rng.choice(list("0123456789abcdef"), 32)) if true else pick("disabled", "required", "unchanged", "aaaaaaaaaa"))
+            mixed = lambda n: "".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), n))
+            sign = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+            long_ = int(rng.integers(16, 60))
+            good = pick(sign(32), sign(40), mixed(long_), f"{word(2)}_{word(4)}_{mixed(24)}", f"{mixed(20)}.{mixed(30)}.{mixed(25)}", word(int(rng.integers(5, 9))) + num(int(rng.integers(2, 6))), f"{word(4).title()}{num(2)}-{word(3)}-{num(2)}")
+            words = [word(int(rng.integers(3, 10))) for _ in range(int(rng.integers(1, 4)))]
+            bad = pick("disabled", "required", "unchanged", "aaaaaaaaaa", word(8), word(int(rng.integers(8, 13))), pick("_", "-", ".").join([*words, word(8)]), word(4).title() + word(6))
+            m = pick('token = "', "token: ", "api_key=", 'api_key = "', "secret: ", "secret=", "password: ", "pwd=") + (good if true else bad)
         x.append(local_features(kind, m, before[-40:]))
         y.append(float(true))
         kinds.append(kind)
@@ -244,7 +256,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Repeated rows are each reported, an empty table gives an empty result, other
     columns are ignored.
     """
-    out = spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), "_t")
+    out = spans(df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_pii_text")), "_pii_text")
     count = lambda k: F.size(F.filter("_pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(_ordered(F.col("_pii_base"))), 256).alias("base_sha256"), _joined(_ordered(F.concat("_pii_base", "_pii_more"))).alias("spans"), F.size("_pii_more").cast("long").alias("n_added"))
 
@@ -253,11 +265,12 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     """``df`` with every span, base and added, replaced by ``[KIND]``; overlapping spans become one.
 
     ``length_col`` names a column that holds the text's length and is kept true.
-    Null texts stay null.  All other columns pass unchanged.
+    Null texts stay null, empty ones empty.  All other columns, whatever their names,
+    pass unchanged; repeated rows are each redacted, an empty table stays empty.
     """
-    cols = df.columns
-    out = spans(df, text_col)
-    text = F.col(text_col)
+    # other columns wait in a struct, so that none can clash with a name used here
+    out = spans(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_pii_row"), F.col(f"`{text_col}`").cast("string").alias("_pii_text")), "_pii_text")
+    text = F.col("_pii_text")
     order = F.array_sort(F.transform(F.concat("_pii_base", "_pii_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     out = out.withColumn("_pii_all", order)
     out = out.withColumn("_pii_till", _running(F.transform("_pii_all", lambda s: s["end"]), lambda x, before: F.greatest(x, before)))
@@ -272,4 +285,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     changed = F.when(F.size("_pii_all") > 0, clean).otherwise(text)
     out = out.withColumn("_pii_clean", changed)
     made = {text_col: F.col("_pii_clean")} | ({length_col: F.length("_pii_clean").cast(df.schema[length_col].dataType)} if length_col else {})
-    return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in cols))
+    return out.select(*((made[c] if c in made else F.col("_pii_row")[c]).alias(c) for c in df.columns))
