@@ -158,7 +158,13 @@ def test_url_verdicts(spark):
         (9, "http://com?x", "com", "", None, "allow"),
         (10, "http://ÄB.com/é", "Äb.com", "/é", "com/", "allow"),
         (None, "http://a.b/", "a.b", "/", None, "allow"),
-    ]
+        (11, "http://casino.net", "casino.net", "", None, "block"),
+        (12, "http://casino.net?x=/", "casino.net", "", None, "block"),
+        (13, "http://a.org/x/wp-admin", "a.org", "/x/wp-admin", None, "block"),
+        (14, "http://a.org/wp-admin/x", "a.org", "/wp-admin/x", None, "block"),
+        (15, "http://a.org/wp-administration/?wp-admin/", "a.org", "/wp-administration/", None, "allow"),
+        (16, "http://a.org/" + "login-" * 20_000, "a.org", "/" + "login-" * 20_000, None, "allow"),
+    ] * 2
     df = spark.createDataFrame([(r[0], r[1], "h") for r in rows], "page_id long, url string, host string")
     got = url_filter.judge(df, url_filter.CONTRACT_RULES + url_filter.DEFAULT_RULES)
     found = {(r["page_id"], r["host"], r["path"], r["rule"] if r["rank"] == 1 else None, r["verdict"]) for r in got.collect()}
@@ -170,8 +176,29 @@ def test_rules_in_blocks_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(1, "http://www.example.com/en/"), (2, "http://x.net/es/")], "page_id long, url string")
     rules = url_filter.CONTRACT_RULES + url_filter.DEFAULT_RULES
     want = sorted(map(str, url_filter.judge(df, rules).collect()))
-    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 9)
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 400)
+    assert len(list(url_filter._blocks(rules))) > 6 and sum(url_filter._blocks(rules), []) == rules
     assert sorted(map(str, url_filter.judge(df, rules).collect())) == want
+    table = spark.createDataFrame([(r.name, r.pattern, r.action, r.rank) for r in rules] + [(None, "a", "block", 1), ("b", "b", "block", None)], "name string, pattern string, action string, rank int")
+    assert set(url_filter.rules_of(table)) == {*rules, url_filter.Rule("b", "b", "block")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files")
+def test_full_licence_texts_are_found(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for k, (name, wanted) in enumerate(names.items()):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            rows.append((k, f.read().replace("license", "licence").upper().replace(", ", " , "), wanted))
+    df = spark.createDataFrame(rows, "doc_id int, text string, license_id string")
+    got = {(r["doc_id"], r["license_id"]) for r in license_scan.scan(df).where("unit = 'document'").collect()}
+    assert got == {(k, w) for k, _, w in rows}
+
+
+def test_spellings_are_whole_words(spark):
+    df = spark.createDataFrame([("The Licence, licenced licences",), ("conversion 2 of sub-license",), ("Version 3.0 subversion 3",), ("",)], "t string")
+    assert [r[0] for r in df.select(license_scan.canonical(df["t"])).collect()] == ["the license licensed licenses", "conversion 2 of sublicense", "v3 0 subversion 3", ""]
 
 
 def test_licenses_by_document_and_line(spark):

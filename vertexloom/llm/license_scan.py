@@ -18,20 +18,25 @@ from pyspark.sql import functions as F
 #: Known digests are broadcast up to this many rows of about 100 bytes.
 BROADCAST_ROWS = 100_000
 
-#: Spellings that mean the same, applied in order to canonical text.
+#: Whole words that mean the same, replaced in order in canonical text.
 SPELLINGS = [
     ("licence", "license"),
+    ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sub license", "sublicense"),
-    ("version ", "v"),
     ("creative commons attribution noncommercial", "cc by nc"),
     ("creative commons attribution non commercial", "cc by nc"),
     ("creative commons attribution", "cc by"),
     ("gnu general public license", "gpl"),
     ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"),
     ("merchantibility", "merchantability"),
     ("non infringement", "noninfringement"),
     ("per cent", "percent"),
+    ("version 1", "v1"),
+    ("version 2", "v2"),
+    ("version 3", "v3"),
+    ("version 4", "v4"),
 ]
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -53,6 +58,39 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE."""
 
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+
+_BSD3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
 held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
@@ -71,6 +109,12 @@ KNOWN = [
     ("ISC", _ISC),
     ("Zlib", "zlib License\n\n" + _ZLIB),
     ("Zlib", _ZLIB),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD2 + _BSD_END),
+    ("BSD-2-Clause", _BSD2 + _BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD2 + _BSD3 + _BSD_END),
+    ("BSD-3-Clause", _BSD2 + _BSD3 + _BSD_END),
+    ("Unlicense", _UNLICENSE),
+    ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -87,6 +131,23 @@ KNOWN = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
 
+#: SHA-256 digests of the canonical form of longer licences, as published, whole.
+FULL_TEXTS = [
+    ("Apache-2.0", "37c52c6ebfb3075ab914143702993d44ac6a131cbf9e27086ec0a6e134510060"),
+    ("Artistic-1.0", "206a10be95791fc6960db067debc11f3b4e4146d640ebccac83b15cb6a75c72b"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "d8096b93a40a1e01766a43326e77cd7b82ea26706198b0b061fd9e6ddc5b5234"),
+    ("GFDL-1.3", "ae7a2b73b57e704f3a1221b85497a5d5b91a6767e619c9bbf94c0c5f983f946d"),
+    ("GPL-1.0", "101a24ff1944316fbd55f669746aef170936044934f8e2ceda271996a4bf2b6f"),
+    ("GPL-2.0", "c09136fa01d4e15a62d1f0e89ea5482dfc6a951b4f72150257b6e8e8af42ee48"),
+    ("GPL-3.0", "4f324d56e8d5a28541f6dd93120462b88a30b30f18783aff33f4ef53d91ee378"),
+    ("LGPL-2.0", "96ddc5318337717590c4f1119b13e9d45a582c93ecf96e5c5d91d94d99550780"),
+    ("LGPL-2.1", "5a94f8bacaa1f09875b861479d63cdc0b7243480928c89533e872546111a8e6d"),
+    ("LGPL-3.0", "4df2d113ee825ef23660104d6f246ff8ed2b29136e2cd6808361a218967aa148"),
+    ("MPL-1.1", "ea86b8706eaa54ae6772e73b8999c32089d18d7d1f9daa08fae518eaecfcbc61"),
+    ("MPL-2.0", "0a7f9eb0a730c04083788cfc36c570f83e858f4c1d9d461cbd87a22eb28c3921"),
+]
+
 #: A line that states a copyright and nothing of a licence.
 COPYRIGHT_LINE = r"(?m)^[^\n]{0,8}(copyright|\(c\)|©)[^\n]{0,4}(\(c\)|©|[0-9]{4}|copyright|by )[^\n]*$"
 
@@ -94,16 +155,19 @@ COPYRIGHT_LINE = r"(?m)^[^\n]{0,8}(copyright|\(c\)|©)[^\n]{0,4}(\(c\)|©|[0-9]{
 def canonical(text: Column) -> Column:
     """The form whose digest is looked up; equal licences that differ in case, punctuation, copyright lines or spelling agree."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "))
+    # two blanks between words, so that each word has its own on both sides
+    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Digest and identifier of each known text; texts that agree keep the smallest identifier."""
-    rows = spark.createDataFrame(known or KNOWN, "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """Digest and identifier of each known text, of the default list with the longer ones; texts that agree keep the smallest identifier."""
+    rows = spark.createDataFrame(known or KNOWN, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
+    if not known:
+        rows = rows.union(spark.createDataFrame([(d, i) for i, d in FULL_TEXTS], "digest string, license_id string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", known_rows: int | None = None) -> DataFrame:
@@ -116,7 +180,7 @@ def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
     """
     spark = df.sparkSession
     if known is None:
-        known, known_rows = known_digests(spark), len(KNOWN)
+        known, known_rows = known_digests(spark), len(KNOWN) + len(FULL_TEXTS)
     text = F.col("_t")
     units = F.when(F.instr(text, "\n") > 0, F.concat(F.array(text), F.split(text, "\n"))).otherwise(F.array(text))
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
@@ -132,14 +196,18 @@ def oracle_sql(known: list[tuple[str, str]] | None = None) -> str:
 
     def form(col: str) -> str:
         out = f"regexp_replace(lower({col}), {quote(COPYRIGHT_LINE.replace('(?m)', '(?m)'))}, ' ', 'g')"
-        out = f"trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+        out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g') || ' '"
         for a, b in SPELLINGS:
-            out = f"replace({out}, {quote(a)}, {quote(b)})"
-        return out
+            x, y = (f" {w.replace(' ', '  ')} " for w in (a, b))
+            out = f"replace({out}, {quote(x)}, {quote(y)})"
+        return f"trim(replace({out}, '  ', ' '))"
 
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known or KNOWN)
+    more = ", ".join(f"({quote(i)}, {quote(d)})" for i, d in ([] if known else FULL_TEXTS)) or "(NULL, NULL)"
     return f"""
-WITH known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) v(license_id, text) GROUP BY 1),
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (
+  SELECT license_id, sha256({form("text")}) AS digest FROM (VALUES {values}) v(license_id, text)
+  UNION ALL SELECT license_id, digest FROM (VALUES {more}) w(license_id, digest)) WHERE digest IS NOT NULL GROUP BY 1),
 units AS (
   SELECT doc_id, 'document' AS unit, 0 AS line_no, text AS u FROM documents WHERE text IS NOT NULL
   UNION ALL

@@ -43,13 +43,17 @@ f AS (SELECT *, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
 w(word) AS (VALUES %s),
-k AS (SELECT page_id, max('~' || word) FILTER (WHERE length(word) = longest) AS pattern_rule FROM (
-  SELECT page_id, word, max(length(word)) OVER (PARTITION BY page_id) AS longest FROM f, w
-  WHERE rule IS NULL AND path <> '' AND regexp_matches(host, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) GROUP BY 1)
+s(segment) AS (VALUES %s),
+m AS (
+  SELECT page_id, '~' || word AS name FROM f, w WHERE rule IS NULL AND regexp_matches(host, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')
+  UNION ALL
+  SELECT page_id, '/' || segment || '/' FROM f, s WHERE rule IS NULL AND (contains(path, '/' || segment || '/') OR ends_with(path, '/' || segment))),
+k AS (SELECT page_id, max(name) FILTER (WHERE length(name) = longest) AS pattern_rule FROM (
+  SELECT page_id, name, max(length(name)) OVER (PARTITION BY page_id) AS longest FROM m) GROUP BY 1)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN pattern_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern_rule
-FROM f LEFT JOIN k USING (page_id)""" % ", ".join(f"('{w}')" for w in url_filter.BLOCKED_HOST_WORDS)
+FROM f LEFT JOIN k USING (page_id)""" % tuple(", ".join(f"('{w}')" for w in words) for words in (url_filter.BLOCKED_HOST_WORDS, url_filter.BLOCKED_SEGMENTS))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
