@@ -23,6 +23,18 @@ SPELLINGS = [
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("licencing", "licensing"),
+    ("licencor", "licensor"),
+    ("licencors", "licensors"),
+    ("licencee", "licensee"),
+    ("licencees", "licensees"),
+    ("sublicence", "sublicense"),
+    ("sublicences", "sublicenses"),
+    ("sublicenced", "sublicensed"),
+    ("sublicencing", "sublicensing"),
+    ("sublicencee", "sublicensee"),
+    ("sublicencees", "sublicensees"),
+    ("relicencing", "relicensing"),
     ("sub license", "sublicense"),
     ("creative commons attribution noncommercial", "cc by nc"),
     ("creative commons attribution non commercial", "cc by nc"),
