@@ -42,6 +42,8 @@ def test_near_duplicates_agree_with_all_pairs(spark):
 def test_rounds_after_the_hubs_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FIRST_SHARE", 1)
     monkeypatch.setattr(minhash, "RARE", 1)
+    monkeypatch.setattr(common, "HOT_PART", 50)
+    monkeypatch.setattr(common, "SALT", 3)
     rows = [(k, " ".join(edited(words(1) * 0 + BASE_WORDS, k % 9))) for k in range(60)]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert got == {r[0]: c for r, (_, c) in zip(rows, helpers.components(rows, 85), strict=True)}

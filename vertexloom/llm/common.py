@@ -62,7 +62,7 @@ def hot_keys(counts: DataFrame, key: str, count: str) -> list:
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list, spread: str) -> DataFrame:
-    """Inner join on ``key`` of ``many`` rows with ``one`` row for each key; rows of hot keys are dealt over tasks by a hash of ``spread``."""
+    """Inner join on ``key`` of ``many`` rows with ``one`` or few for each key; ``many``'s rows of hot keys are dealt over tasks by a hash of ``spread``."""
     if not hot:
         return many.join(one, key)
     is_hot = F.col(key).isin(hot)

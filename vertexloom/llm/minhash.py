@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import SPACED, batch_words, chunks, mix, over_rows, shingle_hashes
+from vertexloom.llm.common import SPACED, batch_words, chunks, hot_keys, mix, over_rows, salted_join, shingle_hashes
 from vertexloom.operators.stars import star_components
 from vertexloom.plans.runtime import Scratch
 
@@ -173,8 +173,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
     nodes = scratch.put(sketched.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     scratch.drop(sketched)
     member = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    together = scratch.put(member.join(shared, "key"))
+    shared = scratch.put(member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    # a key that many nodes share has its rows dealt over many tasks in every join on keys
+    hot = hot_keys(shared, "key", "c")
+    together = scratch.put(salted_join(member, shared.select("key"), "key", hot, "node"))
+    scratch.drop(shared)
     keyed, nodes = nodes, scratch.put(nodes.select("node", "rep", "n", "sig"))
     scratch.drop(keyed)
     wanted = scratch.put(together.select("node").distinct())
@@ -189,7 +192,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
     light = scratch.put(sized.select("node", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("open")).where(F.col("open") * 100 >= F.col("n") * percent))
     fit = together.join(light.select("node", "n", "open"), "node")
     hubs = fit.groupBy("key").agg(F.min_by("node", F.struct(-F.col("open") / F.col("n"), "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = scratch.put(fit.join(hubs, "key").select("key", "node", "n", "open", "hub"))
+    members = scratch.put(salted_join(fit, hubs, "key", hot, "node").select("key", "node", "n", "open", "hub"))
     scratch.drop(together)
 
     def possible(an: Column, ao: Column, bn: Column, bo: Column) -> Column:
@@ -229,7 +232,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
         keys = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("total"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
         chance = F.lit(float(share)) / (F.col("total") - F.col("most"))
         drawn = F.pmod(F.xxhash64("node", "key", F.lit(share)), F.lit(1 << 30)) / float(1 << 30)
-        opened = scratch.put(state.join(keys, "key").select("key", "node", "n", "open", "component", ((F.col("component") != F.col("major")) & (drawn < chance)).alias("lead")))
+        opened = scratch.put(salted_join(state, keys, "key", hot, "node").select("key", "node", "n", "open", "component", ((F.col("component") != F.col("major")) & (drawn < chance)).alias("lead")))
         if opened.isEmpty():
             break
         scratch.drop(active)
@@ -244,7 +247,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = SIZE, id_col:
         few = mine.groupBy(F.col("u").alias("_u")).agg(F.count("*").alias("few"))
         lead = lead.join(few, F.col("u") == F.col("_u"), "left").withColumn("uo", F.least("uo", F.col("un") - F.coalesce("few", F.lit(0)))).drop("_u", "few")
         room = possible(F.col("un"), F.col("uo"), F.col("n"), F.col("open")) & (F.col("uc") != F.col("component")) & (F.col("u") != F.col("node"))
-        by_key = lead.join(opened, (F.col("k") == F.col("key")) & room).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
+        by_key = salted_join(opened, lead.withColumnRenamed("k", "key"), "key", hot, "node").where(room).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
         pairs = by_rare.union(by_key).distinct()
         found = scratch.put(confirmed(likely(pairs)))
         active = scratch.put(opened.where("not lead").select("key", "node", "n", "open"))
