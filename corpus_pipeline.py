@@ -3,18 +3,26 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
 Stages that reject documents keep every other row with all its columns; the
 redaction rewrites ``text`` and ``n_chars``; the last stage returns token digests.
+
+In every stage null texts count as empty and stay null, and empty texts are neither
+toxic, copies, contaminated nor personal, so their rows stay to the end.  Rows
+without an id are judged by their text where a stage can (toxicity, redaction,
+encoding) and kept where it goes by ids (copies, contamination).  Of rows that
+repeat an id one stays after the second stage.  Ties go to the smallest id, an
+empty table gives an empty result, and further columns pass as they are.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.llm import bpe, decontaminate, minhash, pii, toxicity
 from vertexloom.llm.common import table
 from vertexloom.plans.runtime import Scratch
 
-#: Where the public vocabulary files stand.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: The public vocabulary file that documents are encoded with.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Documents that score so high are toxic; similarity, in per cent, of near copies; share of an item's shingles that contaminates.
 TOXIC, NEAR, HELD = 0.7, 80, 80
 
