@@ -11,7 +11,7 @@ from vertexloom.plans.runtime import Adjacency, Scratch, buckets, in_place
 from vertexloom.plans.superstep import pregel
 
 
-def connected_components(graph: Graph, algorithm: str = "hashmin", directed: bool = False, max_iter: int = 1000, pivot: int | None = None, pivot_label: int | None = None) -> DataFrame:
+def connected_components(graph: Graph, algorithm: str = "hashmin", directed: bool = False, max_iter: int = 1000, pivot: int | None = None, pivot_label: int | None = None, truncate: bool = False) -> DataFrame:
     """(id, label): the smallest id of each vertex's component.
 
     ``hashmin`` propagates minima; ``sv`` hooks trees and shortcuts them, in
@@ -20,14 +20,15 @@ def connected_components(graph: Graph, algorithm: str = "hashmin", directed: boo
     ``pivot``) and propagates minima over the rest; ``stars`` alternates large and
     small stars, for large graphs with long chains.  With ``directed`` (hashmin only) labels follow edges: the smallest id
     that reaches the vertex.  ``pivot_label`` marks the pivot's component instead
-    of its smallest id.
+    of its smallest id.  With ``truncate`` (hashmin only) the labels after
+    ``max_iter`` supersteps are the result, settled or not; otherwise that fails.
     """
     if directed:
         if algorithm != "hashmin":
             raise ValueError("only hashmin follows edge direction")
-        return _hashmin(graph, max_iter)
+        return _hashmin(graph, max_iter, truncate)
     if algorithm == "hashmin":
-        return _hashmin(graph.symmetrize(), max_iter)
+        return _hashmin(graph.symmetrize(), max_iter, truncate)
     if algorithm == "sv":
         return _hook_and_shortcut(graph.symmetrize(), max_iter)
     if algorithm == "pivot":
@@ -38,7 +39,7 @@ def connected_components(graph: Graph, algorithm: str = "hashmin", directed: boo
     raise ValueError(f"unknown algorithm {algorithm}")
 
 
-def _hashmin(graph: Graph, max_iter: int) -> DataFrame:
+def _hashmin(graph: Graph, max_iter: int, truncate: bool = False) -> DataFrame:
     run = pregel(
         graph,
         init={"label": F.col("id")},
@@ -48,7 +49,7 @@ def _hashmin(graph: Graph, max_iter: int) -> DataFrame:
         active=F.col("label") < F.col("old_label"),
         max_iter=max_iter,
     )
-    if run.reason == "max_iter":
+    if run.reason == "max_iter" and not truncate:
         raise RuntimeError(f"labels did not settle in {max_iter} supersteps")
     return run.vertices
 

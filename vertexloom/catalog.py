@@ -12,7 +12,8 @@ from vertexloom.algorithms import coloring, components, diameter, fieldbcast, ma
 from vertexloom.fixtures import ORDER_CHAIN, PART_SUPPLIER, SPARSE, order_chain, part_supplier, sparse
 from vertexloom.graph import Graph
 from vertexloom.operators import ordering
-from vertexloom.plans import superstep
+from vertexloom.plans import gas, superstep
+from vertexloom.plans.edge_values import edge_valued
 from vertexloom.plans.runtime import Scratch
 from vertexloom.sources import logs, text
 
@@ -393,8 +394,186 @@ def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.total_messages(logs.machine_messages(lines, order_col="o_orderkey"))
 
 
-@query()
+def hashmin_sql(rounds: int) -> str:
+    """Labels l<k>, and received messages m<k>, of so many supersteps."""
+    parts = [SPARSE, "l0 AS MATERIALIZED (SELECT id, id AS label, true AS act FROM v)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"m{k} AS MATERIALIZED (SELECT e.dst AS id, min(l.label) AS m, count(*) AS c FROM l{k - 1} l JOIN e ON e.src = l.id WHERE l.act GROUP BY 1)")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT l.id, least(l.label, coalesce(m.m, l.label)) AS label, coalesce(m.m < l.label, false) AS act FROM l{k - 1} l LEFT JOIN m{k} m USING (id))")
+    return "WITH " + ",\n".join(parts)
+
+
+def _steps_sql(columns: str, rounds: int = 60) -> str:
+    """One row for each superstep up to the one that changes nothing."""
+    per = [f"SELECT CAST({k} AS INTEGER) AS superstep, {columns.format(k=k)} WHERE {k} = 1 OR EXISTS (SELECT 1 FROM l{k - 1} WHERE act)" for k in range(1, rounds + 1)]
+    return hashmin_sql(rounds) + "\n" + " UNION ALL ".join(per)
+
+
+def _hashmin_run(spark: SparkSession, sf_dir: str, **more) -> superstep.Run:
+    return superstep.pregel(
+        sparse(spark, sf_dir), init={"label": F.col("id")}, message={"m": F.col("v.label")}, combine={"m": F.min("m")}, update={"label": F.least("label", "m")}, active=F.col("label") < F.col("old_label"), **more
+    )
+
+
+@query(_steps_sql("CAST((SELECT coalesce(sum(c), 0) FROM m{k}) AS BIGINT) AS messages, (SELECT count(*) FROM l{k} WHERE act) AS changed"))
 def msg_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and changed vertices of every superstep of a component search."""
+    return _hashmin_run(spark, sf_dir).report(spark).select("superstep", "messages", "changed")
+
+
+def _worker_sql(workers: int, rounds: int = 60) -> str:
+    per = [f"SELECT CAST({k} AS INTEGER) AS superstep, CAST({w} AS INTEGER) AS worker, CAST((SELECT coalesce(sum(c), 0) FROM m{k} WHERE id % {workers} = {w}) AS BIGINT) AS messages WHERE {k} = 1 OR EXISTS (SELECT 1 FROM l{k - 1} WHERE act)" for k in range(1, rounds + 1) for w in range(workers)]
+    return hashmin_sql(rounds) + "\n" + " UNION ALL ".join(per)
+
+
+@query(_worker_sql(3))
+def worker_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by worker and superstep."""
+    return _hashmin_run(spark, sf_dir, workers=3).worker_report(spark)
+
+
+@query(f"SELECT CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(changed) AS BIGINT) AS changed FROM ({_SQL['msg_report']})")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running aggregates over all supersteps, and a global object that a hook keeps."""
+    shared = superstep.Globals()
+    run = _hashmin_run(spark, sf_dir, running={"messages": lambda old, step: (old or 0) + step.messages}, hook=lambda step: shared.put_or_update("changed", step.changed, lambda a, b: a + b))
+    return spark.createDataFrame([(run.steps[-1].running["messages"], shared.get("changed"))], "messages long, changed long")
+
+
+@query(hashmin_sql(3) + "\nSELECT id, label FROM l3")
+def cc_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels after three supersteps, settled or not."""
+    return components.connected_components(sparse(spark, sf_dir), max_iter=3, truncate=True)
+
+
+# --- gather, apply, scatter -------------------------------------------------------------------------------------------
+
+
+@query(_SQL["pagerank_dynamic"])
+def gas_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks recomputed while a neighbour's changes, by gathering."""
+    g = order_chain(spark, sf_dir)
+    g = g._with(g.edges, g.degrees().select("id", F.col("out_degree").alias("deg")))
+    found = gas.gather_apply_scatter(
+        g, init={"deg": F.col("deg"), "rank": F.lit(1.0)}, gather={"g": F.col("v.rank") / F.col("v.deg")}, combine={"g": F.sum("g")}, apply={"rank": 0.15 + 0.85 * F.coalesce("g", F.lit(0.0))}, scatter=F.abs(F.col("rank") - F.col("old_rank")) > 0.01,
+    )
+    return found.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_SQL["sssp_weighted"])
+def gas_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest distances by gathering; the source alone is active at first and signals."""
+    source = _source(spark, sf_dir)
+    is_source = F.col("id") == source
+    closer = F.coalesce(F.least("dist", "d"), F.col("dist"), F.col("d"))
+    # the source's neighbours wake when the source is applied, so its distance counts as new in the first step
+    return gas.gather_apply_scatter(
+        sparse(spark, sf_dir), init={"dist": F.when(is_source, F.lit(0.0)), "told": F.lit(False)}, gather={"d": F.col("v.dist") + F.col("e.weight")}, combine={"d": F.min("d")},
+        apply={"dist": closer, "told": F.lit(True)}, scatter=F.col("dist").isNotNull() & (F.col("old_dist").isNull() | (F.col("dist") < F.col("old_dist")) | (is_source & ~F.col("old_told"))), start=is_source,
+    ).select("id", "dist")
+
+
+@query(f"WITH {SPARSE}, a AS (SELECT src, dst, CAST(src AS DOUBLE) AS x FROM e), b AS (SELECT dst AS id, sum(x) AS s FROM a GROUP BY 1) SELECT e.src, e.dst, b.s + e.weight AS x FROM e JOIN b ON b.id = e.src")
+def edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that live on edges: first the writer's id, then the sum that its in-edges told it, with the edge's weight."""
+    first = F.col("v.sum").isNull()
+    found = edge_valued(
+        sparse(spark, sf_dir), init={"sum": F.lit(None).cast("double")}, write={"x": F.when(first, F.col("v.id").cast("double")).otherwise(F.col("v.sum") + F.col("e.weight"))}, read={"s": F.sum("x")}, update={"sum": F.col("s")}, rounds=2,
+    )
+    return found.edges.select("src", "dst", "x")
+
+
+@query(f"WITH {SPARSE} SELECT src % 100 AS id, src AS sender, min(dst) AS value FROM e GROUP BY 1, 2")
+def respond_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values pushed without a request: of each sender the first."""
+    return superstep.explicit_respond(sparse(spark, sf_dir).edges, F.col("src") % 100, F.col("dst"), sender=F.col("src"))
+
+
+@query(f"WITH {SPARSE} SELECT id FROM v ORDER BY {HASH.format("id || ':0'")}, id LIMIT 1")
+def pick_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.pick_one(sparse(spark, sf_dir).vertices.select("id"))
+
+
+@query(f"WITH {SPARSE}, d AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY 1) SELECT CAST(2 AS INTEGER) AS phases, (SELECT count(*) FROM d WHERE deg >= 2) AS left_over")
+def phase_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases in order; the second says that the run ends, so the third does not begin."""
+    state = {"rows": sparse(spark, sf_dir).degrees()}
+
+    def prune() -> bool:
+        state["rows"] = state["rows"].where("out_degree >= 2")
+        return True
+
+    def forbidden() -> bool:
+        raise AssertionError("a phase ran after the end")
+
+    n = superstep.phases(prune, lambda: False, forbidden)
+    return spark.createDataFrame([(n, state["rows"].count())], "phases int, left_over long")
+
+
+# --- more text formats --------------------------------------------------------------------------------------------------
+
+
+def _listed(g: Graph, *cells) -> DataFrame:
+    """(id, n): out-edges of each vertex as text cells in order of the target."""
+    cell = F.struct("dst", F.concat_ws(" ", *cells).alias("c"))
+    return g.edges.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["c"]).alias("n"))
+
+
+def _dst(*more: str):
+    return [F.col(c).cast("string") for c in ("dst", *more)]
+
+
+@query(f"WITH {SPARSE} SELECT src, dst, weight FROM e")
+def wadj_nocount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _listed(sparse(spark, sf_dir), *_dst("weight")).select(F.concat_ws("\t", F.col("id").cast("string"), F.array_join("n", " ")).alias("value"))
+    return text.parse(lines, "wadj_nocount").edges
+
+
+@query(f"WITH {SPARSE} SELECT src, dst, CAST(1 AS DOUBLE) AS weight FROM e")
+def adj_unit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _listed(sparse(spark, sf_dir), *_dst()).select(F.concat_ws("\t", F.col("id").cast("string"), F.concat_ws(" ", F.size("n").cast("string"), F.array_join("n", " "))).alias("value"))
+    return text.parse(lines, "adj_unit").edges
+
+
+@query(f"WITH {SPARSE} SELECT src, dst, src * 3 AS value FROM e")
+def field_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _listed(sparse(spark, sf_dir), *_dst()).select(F.concat_ws(" ", F.col("id").cast("string"), (F.col("id") * 3).cast("string"), F.size("n").cast("string"), F.array_join("n", " ")).alias("value"))
+    g = text.parse(lines, "field")
+    return g.edges.join(g.vertices.withColumnRenamed("id", "src"), "src").select("src", "dst", "value")
+
+
+@query(f"WITH {SPARSE} SELECT src, dst FROM e WHERE dst % 5 <> 0")
+def generic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours that are no numbers are skipped, and so are lines whose id is none."""
+    cell = F.when(F.col("dst") % 5 == 0, F.lit("x")).otherwise(F.col("dst").cast("string"))
+    lines = _listed(sparse(spark, sf_dir), cell).select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join("n", " ")).alias("value"))
+    return text.parse(lines.union(lines.select(F.concat(F.lit("n"), "value"))), "generic").edges
+
+
+@query(f"{BFS} SELECT v.id, v.id || chr(9) || coalesce(printf('%d.0', b.hops) || ' ' || coalesce(CAST((SELECT min(e.src) FROM e JOIN b AS u ON u.id = e.src WHERE e.dst = v.id AND u.hops = b.hops - 1) AS VARCHAR), '-1'), 'unreachable') AS line FROM v LEFT JOIN b USING (id)")
+def sssp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sssp.sssp(sparse(spark, sf_dir), _source(spark, sf_dir), with_parent=True)
+    return text.sssp_lines(found).select(F.split("value", "\t")[0].cast("long").alias("id"), F.col("value").alias("line"))
+
+
+@query(f"WITH {SPARSE} SELECT v.id, v.id || ' ' || v.id * 7 || chr(9) || (SELECT string_agg(e.dst || ' ' || e.dst * 7, ' ' ORDER BY e.dst) FROM e WHERE e.src = v.id) AS line FROM v")
+def field_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = sparse(spark, sf_dir)
-    run = superstep.pregel(g, init={"label": F.col("id")}, message={"m": F.col("v.label")}, combine={"m": F.min("m")}, update={"label": F.least("label", "m")}, active=F.col("label") < F.col("old_label"))
-    return run.report(spark).select("superstep", "messages", "changed")
+    g = g._with(g.edges, g.vertices.withColumn("value", F.col("id") * 7))
+    return text.field_lines(g, fieldbcast.field_broadcast(g)).select(F.split("value", " ")[0].cast("long").alias("id"), F.col("value").alias("line"))
+
+
+@query(f"WITH {SPARSE} SELECT src, dst, weight FROM e")
+def edge_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge lines in two folders, read as one graph."""
+    e, root = sparse(spark, sf_dir).edges, Scratch(spark, "lists").root
+    line = F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value")
+    for k in range(2):
+        text.write_lines(e.where(F.col("src") % 2 == k).select(line), f"{root}/{k}")
+    return text.read_edge_list(spark, [f"{root}/0", f"{root}/1"], weighted=True).edges
+
+
+@query(f"WITH {SPARSE} SELECT src, dst, weight FROM e")
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, g = Scratch(spark, "tables"), sparse(spark, sf_dir)
+    return text.read_tables(spark, scratch.put(g.edges)._vertexloom_path, scratch.put(g.vertices)._vertexloom_path).edges

@@ -29,6 +29,32 @@ class Step:
     messages: int
     changed: int
     seconds: float
+    #: Messages by worker, where a run counts them.
+    workers: tuple[int, ...] = ()
+    #: Running values over all supersteps so far, by name.
+    running: dict[str, object] = field(default_factory=dict)
+
+
+class Globals:
+    """Named values that the driver's program and its hooks share between supersteps."""
+
+    def __init__(self, **values: object):
+        self._values = dict(values)
+
+    def put(self, name: str, value: object) -> None:
+        self._values[name] = value
+
+    def put_or_update(self, name: str, value: object, merge: Callable[[object, object], object]) -> None:
+        """The value itself where the name is new, else what ``merge`` makes of the old one and it."""
+        self._values[name] = merge(self._values[name], value) if name in self._values else value
+
+    def get(self, name: str, default: object = None) -> object:
+        return self._values.get(name, default)
+
+    def clear(self, *names: str) -> None:
+        """Forget the names, or all without any."""
+        for name in names or list(self._values):
+            self._values.pop(name, None)
 
 
 @dataclass
@@ -44,6 +70,11 @@ class Run:
         rows = [(s.number, s.messages, s.changed, float(s.seconds)) for s in self.steps]
         return spark.createDataFrame(rows, "superstep int, messages long, changed long, seconds double")
 
+    def worker_report(self, spark) -> DataFrame:
+        """(superstep, worker, messages): what the vertices of each worker received, for runs with ``workers``."""
+        rows = [(s.number, w, n) for s in self.steps for w, n in enumerate(s.workers)]
+        return spark.createDataFrame(rows, "superstep int, worker int, messages long")
+
 
 def messages_to(state: DataFrame, edges: DataFrame, message: Mapping[str, Column], direction: str = "out") -> DataFrame:
     """One message for each edge of the given vertices: (id, message columns).
@@ -80,9 +111,10 @@ def request(state: DataFrame, target: str, respond: Mapping[str, Column], from_s
     return state.join(source, state[target] == source["_to"], "left" if safe else "inner").drop("_to")
 
 
-def explicit_respond(state: DataFrame, target: Column, value: Column) -> DataFrame:
-    """Values pushed without a request: (id, value), one for each target and sender value."""
-    return state.select(target.alias("id"), value.alias("value")).where("id is not null").dropDuplicates(["id", "value"])
+def explicit_respond(state: DataFrame, target: Column, value: Column, sender: Column | None = None, order: Column | None = None) -> DataFrame:
+    """Values pushed without a request: (id, sender, value), of each sender to a target the first one by ``order`` (the smallest value without)."""
+    sent = state.select(target.alias("id"), (F.col("id") if sender is None else sender).alias("sender"), value.alias("value"), (value if order is None else order).alias("_o")).where("id is not null")
+    return sent.groupBy("id", "sender").agg(F.min_by("value", F.struct("_o", "value")).alias("value"))
 
 
 def relay(state: DataFrame, edges: DataFrame, field_: Column, on_edge: Callable[[Column], Column], combine: Callable[[Column], Column]) -> DataFrame:
@@ -112,6 +144,8 @@ def pregel(
     hook: Callable[[Step], None] | None = None,
     max_iter: int = 100,
     scratch: Scratch | None = None,
+    workers: int = 0,
+    running: Mapping[str, Callable[[object, Step], object]] | None = None,
 ) -> Run:
     """Run a vertex program to quiescence, a stop test or ``max_iter``.
 
@@ -122,7 +156,9 @@ def pregel(
     combined ones (null without mail).  Vertices without mail keep their state
     unless ``all_compute``.  ``active`` is evaluated over new state, with old
     columns as ``old_<name>`` and combined ones by name.  ``aggregates`` are global
-    values given to ``stop`` and ``hook``.
+    values given to ``stop`` and ``hook``; ``running`` ones are folded on the driver
+    from the value so far (None at first) and the finished step.  With ``workers``
+    each step counts the messages received by id modulo so many.
     """
     scratch = scratch or Scratch(graph.spark, "pregel")
     # edges are laid out once by the end that sends; state lies by id: only messages travel
@@ -142,9 +178,11 @@ def pregel(
         counts = Observation()
         judged = new.withColumn("_active", F.coalesce(active, F.lit(False))).select("id", *init, "_active", "_mail")
         with in_place(graph.spark):
-            after = scratch.put(judged.observe(counts, F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items())).drop("_mail"), by=["id"])
+            after = scratch.put(judged.observe(counts, F.sum("_mail").alias("m"), F.sum(F.col("_active").cast("long")).alias("a"), *(a.alias(f"agg_{k}") for k, a in (aggregates or {}).items()), *(F.sum(F.when(F.pmod("id", F.lit(workers)) == w, F.col("_mail"))).alias(f"worker_{w}") for w in range(workers))).drop("_mail"), by=["id"])
         seen = counts.get
-        step = Step(number, {k: seen[f"agg_{k}"] for k in aggregates or {}}, seen["m"] or 0, seen["a"] or 0, time.perf_counter() - began)
+        step = Step(number, {k: seen[f"agg_{k}"] for k in aggregates or {}}, seen["m"] or 0, seen["a"] or 0, time.perf_counter() - began, tuple(seen[f"worker_{w}"] or 0 for w in range(workers)))
+        before = run.steps[-1].running if run.steps else {}
+        step.running = {k: fold(before.get(k), step) for k, fold in (running or {}).items()}
         run.steps.append(step)
         scratch.drop(state)
         state = after

@@ -83,6 +83,14 @@ def sssp_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.col("id").cast("string"), F.lit("\t"), F.when(F.col("dist").isNull(), "unreachable").otherwise(reached)).alias("value"))
 
 
+def field_lines(graph: Graph, edges: DataFrame, value_col: str = "value") -> DataFrame:
+    """Lines ``id value<TAB>nb v nb v ...``: a vertex, its value, and each neighbour with the value that ``edges`` (src, dst, value) carry, in order."""
+    listed = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", F.col("value").alias("_v")))).alias("n"))
+    full = graph.vertices.select("id", F.col(value_col).alias("_own")).join(listed, "id", "left")
+    body = F.array_join(F.transform(F.coalesce("n", F.array().cast(full.schema["n"].dataType)), lambda x: F.concat_ws(" ", x["dst"].cast("string"), x["_v"].cast("string"))), " ")
+    return full.select(F.concat(F.concat_ws(" ", F.col("id").cast("string"), F.col("_own").cast("string")), F.lit("\t"), body).alias("value"))
+
+
 def adjacency_lines(graph: Graph, weight: str | None = None) -> DataFrame:
     """Lines of the ``adj`` format, or ``wadj`` with a weight column; neighbours in order."""
     cells = F.array_sort(F.collect_list(F.struct("dst", weight) if weight else F.struct("dst")))
