@@ -294,6 +294,37 @@ def color_greedy_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conflicts(spark, sf_dir, algorithm="greedy")
 
 
+def greedy_sql(rounds: int) -> str:
+    """By falling priority every vertex takes the smallest colour that no earlier neighbour has, in so many rounds."""
+    rank = HASH.format("{0}.id || ':0'")
+    parts = [SPARSE, f"q AS MATERIALIZED (SELECT v.id, {rank.format('v')} AS h FROM v)", "f AS MATERIALIZED (SELECT e.src, e.dst FROM e JOIN q a ON a.id = e.src JOIN q b ON b.id = e.dst WHERE (a.h, a.id) < (b.h, b.id))", "c0 AS MATERIALIZED (SELECT id, CAST(NULL AS INTEGER) AS color FROM v)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"u{k} AS MATERIALIZED (SELECT f.dst AS id, list(c.color) AS used, bool_and(c.color IS NOT NULL) AS ready FROM f JOIN c{k - 1} c ON c.id = f.src GROUP BY 1)")
+        free = "list_min(list_filter(range(0, len(coalesce(u.used, [])) + 1), lambda x: NOT list_contains(coalesce(u.used, []), x)))"
+        parts.append(f"c{k} AS MATERIALIZED (SELECT c.id, coalesce(c.color, CASE WHEN coalesce(u.ready, true) THEN CAST({free} AS INTEGER) END) AS color FROM c{k - 1} c LEFT JOIN u{k} u USING (id))")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT id, color FROM c{rounds}"
+
+
+@query(greedy_sql(40))
+def color_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coloring.color(sparse(spark, sf_dir), algorithm="greedy")
+
+
+def lazy_sql(rounds: int) -> str:
+    """As luby_sql(), with the degrees of the first round until less than a hundredth of the vertices is left."""
+    sql = luby_sql(rounds)
+    for k in range(1, rounds):
+        live = f"LEFT JOIN (SELECT src AS id, count(*) AS deg FROM e{k} GROUP BY 1) d USING (id)"
+        chosen = f"LEFT JOIN (SELECT a.id, CASE WHEN (SELECT count(*) FROM v{k}) * 100 >= (SELECT count(*) FROM v0) THEN z.deg ELSE y.deg END AS deg FROM v{k} a LEFT JOIN (SELECT src AS id, count(*) AS deg FROM e0 GROUP BY 1) z USING (id) LEFT JOIN (SELECT src AS id, count(*) AS deg FROM e{k} GROUP BY 1) y USING (id)) d USING (id)"
+        sql = sql.replace(live, chosen)
+    return sql
+
+
+@query(lazy_sql(60))
+def color_lazy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coloring.color(sparse(spark, sf_dir), prune="lazy")
+
+
 # --- primitives -----------------------------------------------------------------------------------------------------
 
 
