@@ -28,6 +28,8 @@ def near_copies():
     rows += [(300 + k, "Same Text here \u00e9\n" * 9) for k in range(5)]
     rows += [(400, None), (401, ""), (402, " \n\t"), (403, "one two"), (404, "ONE  two"), (405, "three")]
     rows += [(100, rows[0][1]), (None, rows[0][1]), (None, "alone without a name")]
+    long_ = words(6000)
+    rows += [(500, " ".join(long_)), (501, " ".join(long_[:5900])), (502, " ".join(long_[:3000]))]
     return rows
 
 

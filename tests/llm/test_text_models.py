@@ -176,6 +176,40 @@ def test_dual_descent_separates():
     assert all((float(w[x] @ ratio[x]) / np.linalg.norm(ratio[x]) + b > 0) == bool(v) for x, v in zip(f, y, strict=True))
 
 
+def test_dual_descent_meets_the_conditions_of_an_optimum():
+    r = np.random.default_rng(5)
+    f = [np.unique(r.integers(0, 40, 12)) for _ in range(120)]
+    y = np.array([int((x < 20).sum() + r.normal() > (x >= 20).sum()) for x in f])
+    ratio = quality.log_ratios(f, y)
+    for label in (0, 1):
+        counts = Counter(int(v) for x, k in zip(f, y, strict=True) if k == label for v in x)
+        total = sum(counts.values()) + quality.SMOOTH * quality.BUCKETS
+        part = np.log((np.array([counts[k] for k in range(40)]) + quality.SMOOTH) / total)
+        plain = part - plain if label else part
+    assert np.allclose(ratio[:40], plain)
+    w, b = quality.dual_descent(f, y, ratio)
+    rows = np.zeros((len(f), 41))
+    for k, x in enumerate(f):
+        rows[k, x], rows[k, 40] = ratio[x] / np.linalg.norm(ratio[x]), 1.0
+    sign, v = np.where(y > 0, 1.0, -1.0), np.append(w[:40], b)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y <= 0).sum())) * quality.COST * 20
+    loss = lambda u: 0.5 * u @ u + float(cost @ np.maximum(0.0, 1 - sign * (rows @ u)))
+    assert all(loss(v) <= loss(v + 0.05 * r.normal(size=41)) for _ in range(500))
+
+
+def test_quality_scores_by_plain_sums(spark):
+    docs, labels = labelled(120, True)
+    docs += [(6000, "Long text of many words. " * 8000, "en", 1), (6000, "Long text of many words. " * 8000, "en", 1)]
+    model = quality.train([(t or "").encode() for _, t, *_ in docs], np.array([k % 2 for k in range(len(docs))]))
+    got = quality.score(spark.createDataFrame(docs, "doc_id long, text string, lang string, score long"), model).collect()
+    want = []
+    for d, t, *_ in docs:
+        _, f = quality.batch_features([(t or "").encode()])
+        total, length = sum(float(model.weights[k]) for k in f), math.sqrt(sum(float(model.squares[k]) for k in f))
+        want.append((d, round(1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * (total / max(length, 1e-9) + model.bias)))), 5)))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], round(r["score"], 5))) for r in got)
+
+
 def test_boosted_trees_equal_their_columns(spark):
     from pyspark.sql import functions as F
 

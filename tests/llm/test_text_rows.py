@@ -203,7 +203,7 @@ def test_spellings_are_whole_words(spark):
 
 def test_licenses_by_document_and_line(spark):
     mit = "The MIT".replace("The ", "") + " License\n\nCopyright (c) 2020 Someone\n\n" + license_scan._MIT.replace(",", " ,").upper()
-    rows = [(1, mit), (2, "text\nReleased  under the MIT Licence\nmore"), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. And more."), (3, "Released under the MIT License.")]
+    rows = [(7, "one line of many words\n" * 20_000 + mit), (1, mit), (2, "text\nReleased  under the MIT Licence\nmore"), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. And more."), (3, "Released under the MIT License.")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
     got = sorted((r["doc_id"], r["unit"], r["line_no"], r["license_id"]) for r in license_scan.scan(df).collect())
     assert [g for g in got if g[0] == 2] == [(2, "line", 2, "MIT")]
