@@ -17,7 +17,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["cc_weak_directed", "pagerank_norm", "sssp_parents", "nf_fm", "bmm", "color_luby", "sample_sort_rank", "adj_roundtrip", "combiners"])
+@pytest.mark.parametrize("name", ["cc_weak_directed", "pagerank_norm", "sssp_parents", "nf_fm", "bmm", "color_luby", "sample_sort_rank", "adj_roundtrip", "combiners", "msg_report", "gas_sssp", "edge_values", "color_greedy", "cc_truncated", "field_text"])
 def test_graph_queries_agree_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
