@@ -101,15 +101,19 @@ class Adjacency:
 
     def __init__(self, scratch: Scratch, edges: DataFrame, end: str = "src"):
         self.end, self.scratch = end, scratch
-        counts = edges.groupBy(end).agg(F.count("*").alias("c"))
-        total = counts.agg(F.sum("c")).first()[0] or 0
-        self.total = total
-        self.hubs = [r[0] for r in counts.where(F.col("c") * HUB_PART > F.lit(total)).select(end).collect()] if total > HUB_PART * SALT else []
+        # written once as they come, so that counting and laying out need not make them again
+        plain = scratch.put(edges)
+        self.total, self.hubs = plain.count(), []
+        if self.total > HUB_PART * SALT:
+            counts = plain.groupBy(end).agg(F.count("*").alias("c"))
+            self.hubs = [r[0] for r in counts.where(F.col("c") * HUB_PART > F.lit(self.total)).select(end).collect()]
+        laid = plain
         if self.hubs:
             other = "dst" if end == "src" else "src"
-            edges = edges.withColumn("_cell", F.when(F.col(end).isin(self.hubs), F.pmod(F.xxhash64(other), F.lit(SALT))).otherwise(F.lit(0)).cast("int"))
+            laid = plain.withColumn("_cell", F.when(F.col(end).isin(self.hubs), F.pmod(F.xxhash64(other), F.lit(SALT))).otherwise(F.lit(0)).cast("int"))
         self.by = [end, "_cell"] if self.hubs else [end]
-        self.edges = scratch.put(edges.repartition(buckets(scratch.spark), *self.by), by=self.by)
+        self.edges = scratch.put(laid.repartition(buckets(scratch.spark), *self.by), by=self.by)
+        scratch.drop(plain)
 
     def meet(self, rows: DataFrame, key: str = "id") -> DataFrame:
         """``rows`` (alias ``v``) with the edges (alias ``e``) of the vertices that ``key`` names."""
