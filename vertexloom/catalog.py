@@ -608,3 +608,26 @@ def edge_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, g = Scratch(spark, "tables"), sparse(spark, sf_dir)
     return text.read_tables(spark, scratch.put(g.edges)._vertexloom_path, scratch.put(g.vertices)._vertexloom_path).edges
+
+
+# --- formats and primitives over all lines ------------------------------------------------------------------------------
+
+
+@query(f"WITH {PART_SUPPLIER} SELECT src, dst FROM e")
+def adj_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.parse(text.adjacency_lines(part_supplier(spark, sf_dir)), "adj").edges
+
+
+@query(f"WITH {PART_SUPPLIER} SELECT dst AS id, min(src + CAST(0.5 AS DOUBLE)) AS value FROM e GROUP BY 1")
+def relay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = part_supplier(spark, sf_dir)
+    return superstep.relay(g.vertices, g.edges, F.col("v.id").cast("double"), lambda m: m + F.lit(0.5), F.min)
+
+
+@query(f"WITH {PART_SUPPLIER}, t AS (SELECT v.id, min(e.dst) AS ptr FROM v LEFT JOIN e ON e.src = v.id GROUP BY 1), d AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1) SELECT t.id, t.ptr, d.n AS customers FROM t LEFT JOIN d ON d.id = t.ptr")
+def request_respond_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part asks its first supplier how many parts it has."""
+    g = part_supplier(spark, sf_dir)
+    state = g.vertices.select("id").join(g.edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("ptr")), "id", "left")
+    known = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    return superstep.request(state, "ptr", {"customers": F.col("n")}, from_state=known)
