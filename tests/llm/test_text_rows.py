@@ -201,6 +201,28 @@ def test_spellings_are_whole_words(spark):
     assert [r[0] for r in df.select(license_scan.canonical(df["t"])).collect()] == ["the license licensed licenses", "conversion 2 of sublicense", "v3 0 subversion 3", ""]
 
 
+def test_texts_without_a_stem_are_spared_the_replacements(spark):
+    for phrase, _ in license_scan.SPELLINGS:
+        assert any(stem in f" {phrase.replace(' ', '  ')} " for stem in license_scan.STEMS)
+    words = sorted({w for pair in license_scan.SPELLINGS for phrase in pair for w in phrase.split()} | {"sublicence", "x"})
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+
+    def plainly(text):
+        out = f" {text.replace(' ', '  ')} "
+        for a, b in license_scan.SPELLINGS:
+            out = out.replace(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ")
+        return out.replace("  ", " ").strip(" ")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(license_scan.canonical(df["t"])).collect()] == [plainly(t) for t in texts]
+
+
+def test_digests_are_made_once(spark):
+    df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    plan = license_scan.scan(df, spark.createDataFrame([("d", "l")], "digest string, license_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("sha2" in line for line in plan.splitlines()) == 1
+
+
 def test_licenses_by_document_and_line(spark):
     mit = "The MIT".replace("The ", "") + " License\n\nCopyright (c) 2020 Someone\n\n" + license_scan._MIT.replace(",", " ,").upper()
     rows = [(7, "one line of many words\n" * 20_000 + mit), (1, mit), (2, "text\nReleased  under the MIT Licence\nmore"), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. And more."), (3, "Released under the MIT License.")]

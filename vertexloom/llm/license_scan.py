@@ -12,6 +12,8 @@ is below ``BROADCAST_ROWS``; beyond that Spark joins by shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,9 @@ SPELLINGS = [
     ("version 4", "v4"),
 ]
 
+#: Pieces of canonical text before spellings, one of which stands in every phrase that is replaced.
+STEMS = ["licenc", "sub  license", "creative  commons", "gnu  general", "copyright  holder", "merchantibility", "non  infringement", "per  cent", "version  "]
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -169,8 +174,12 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     # two blanks between words, so that each word has its own on both sides
     out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", "  "), F.lit(" "))
+    whole = out
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    # without a stem nothing is replaced first, so nothing at all; most texts are spared the replacements
+    stemmed = functools.reduce(Column.__or__, (F.contains(whole, F.lit(x)) for x in STEMS))
+    out = F.when(stemmed, out).otherwise(whole)
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
@@ -197,7 +206,9 @@ def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
     units = F.when(F.instr(text, "\n") > 0, F.concat(F.array(text), F.split(text, "\n"))).otherwise(F.array(text))
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
     rows = rows.select(id_col, F.posexplode(units).alias("line_no", "_unit")).where(F.length("_unit") > 0)
-    rows = rows.select(id_col, F.when(F.col("line_no") == 0, "document").otherwise("line").alias("unit"), F.col("line_no").cast("long").alias("line_no"), F.sha2(canonical(F.col("_unit")), 256).alias("digest"))
+    # units are never null; a digest that could be is made a second time to see whether it is
+    digest = F.coalesce(F.sha2(canonical(F.col("_unit")), 256), F.lit(""))
+    rows = rows.select(id_col, F.when(F.col("line_no") == 0, "document").otherwise("line").alias("unit"), F.col("line_no").cast("long").alias("line_no"), digest.alias("digest"))
     small = known_rows is not None and known_rows <= BROADCAST_ROWS
     return rows.join(F.broadcast(known) if small else known, "digest").select(id_col, "unit", "line_no", "license_id", "digest")
 
