@@ -2,12 +2,14 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from vertexloom.llm import bm25, boosting, decontaminate, quality, toxicity
+from vertexloom.llm import labelled as samples
 
 rng = random.Random(9)
 PLAIN = [f"{a}{b}" for a in ("ton", "ria", "mel", "sta", "vo", "ker") for b in ("da", "lin", "gor", "pes", "u", "rak")]
@@ -43,6 +45,19 @@ def test_automaton_equals_edit_distance():
     assert m.match('"idiot!!"') == ("idiot", 0) and m.match("id1ot") == ("idiot", 1) and m.match("") is None
 
 
+def test_texts_are_not_shuffled_to_be_measured(spark):
+    docs = spark.createDataFrame([(k, "word " * k) for k in range(60)], "_i long, _t string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 60, 3)], "_i long, _y int")
+    sized = samples.sizes(docs, labels)
+    plan = sized._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert "_t" not in plan.output().mkString(" ")
+    assert sorted(map(tuple, sized.collect())) == [(k, 5 * k, k % 2) for k in range(0, 60, 3)]
+    got = samples.sample(docs, labels.withColumnRenamed("_y", "toxic"), "toxic", 3, 1, 1000, "_i", "_t").count()
+    assert got == sum(1 for k in range(0, 60, 3) if zlib.crc32(str(k).encode()) % 3 != 1)
+
+
 def test_beginnings_match_longer_words():
     m = toxicity.Matcher({"achlich": (True, 3.0), "achlichau": (False, 5.0)})
     assert m.match("achlichen") == ("achlich", 0) and m.match("achlichau") == ("achlichau", 0) and m.match("ach") is None

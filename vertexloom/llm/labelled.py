@@ -24,11 +24,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
     an id the largest counts; null labels and ids do not.
     """
     y = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, parts) != held)).groupBy(F.col(id_col).alias("_i")).agg(F.max(label).cast("int").alias("_y"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t")).join(y, "_i")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("_t")).alias("s")).first()
+    texts = docs.select(F.col(f"`{id_col}`").alias("_i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
+    size = sizes(texts, y).agg(F.count("*").alias("n"), F.sum("_n").alias("s")).first()
     share = min(1.0, bound / max(1, size["n"]), most_bytes / max(1, size["s"] or 0))
-    drawn = rows.where(F.pmod(F.xxhash64("_i", "_t", F.lit(label)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    return drawn.dropDuplicates(["_i", "_t"]).select("_t", "_y")
+    drawn = texts.where(F.pmod(F.xxhash64("_i", "_t", F.lit(label)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return drawn.join(y, "_i").dropDuplicates(["_i", "_t"]).select("_t", "_y")
+
+
+def sizes(texts: DataFrame, y: DataFrame) -> DataFrame:
+    """(_i, _n, _y): bytes of every labelled text; only ids and sizes are joined, so no text is shuffled to be measured."""
+    return texts.select("_i", F.octet_length("_t").alias("_n")).join(y, "_i")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, signed: bool = True, heavier: float = 1.0) -> np.ndarray:
