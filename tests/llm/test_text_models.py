@@ -297,6 +297,28 @@ def test_pivots_leave_most_postings_unread(monkeypatch):
     assert index.scored < 0.6 * every and index.scored + index.looked < 0.9 * every
 
 
+def test_queries_side_by_side_find_what_they_find_alone(monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "WIDE", 20)
+    texts = [" ".join([*plain(rng.randrange(0, 50)), *(f"rare{rng.randrange(300)}" for _ in range(9))]).encode() for _ in range(150)] + [b""]
+    index = bm25.Index(bm25.build(texts, np.ones(len(texts), np.int64))[1], 30.0)
+    asked = [(t, c * np.linspace(0.5, 3.0, len(t))) for _, t, c in bm25.term_counts([*texts[::4], b"", b"unknownword", b"rare1 rare2"])]
+    limits = np.zeros(len(asked))
+    q, d, s = index.search_many(np.append(0, np.cumsum([len(t) for t, _ in asked])), np.concatenate([t for t, _ in asked]), np.concatenate([w for _, w in asked]), 10, limits)
+    for j, (terms, weights) in enumerate(asked):
+        exact = np.zeros(len(texts))
+        for t, w in zip(terms, weights, strict=True):
+            at = np.flatnonzero(index.terms == t)
+            if len(at):
+                posts = slice(index.offsets[at[0]], index.offsets[at[0] + 1])
+                exact[index.docs[posts]] += w * index.impact[posts]
+        places = np.lexsort((np.arange(len(texts)), -exact))[:10]
+        best = [p for p in places if exact[p] > 0]
+        got = dict(zip(d[q == j].tolist(), s[q == j].tolist(), strict=True))
+        assert set(best) <= set(got) and got == pytest.approx({p: exact[p] for p in got})
+        assert limits[j] == pytest.approx(exact[best[-1]] if len(best) == 10 else 0.0)
+
+
 def test_search_over_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, query string")

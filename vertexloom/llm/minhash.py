@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import SPACED, batch_words, chunks, hot_keys, mix, over_rows, salted_join, shingle_hashes
+from vertexloom.llm.common import SPACED, batch_words, chunks, frugal, hot_keys, mix, over_rows, salted_join, shingle_hashes
 from vertexloom.operators.stars import star_components
 from vertexloom.plans.runtime import Scratch
 
@@ -127,7 +127,7 @@ def full_sets(df: DataFrame, text_col: str, size: int = SIZE) -> DataFrame:
                     sets.append(s.view(np.int64))
             yield pd.DataFrame({"node": pd.Series(node, dtype=object), "set": pd.Series(sets, dtype=object)})
 
-    return df.select(F.col(text_col).cast("string").alias("_t")).mapInPandas(run, "node binary, set array<bigint>")
+    return df.select(F.col(text_col).cast("string").alias("_t")).mapInPandas(frugal(run), "node binary, set array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
