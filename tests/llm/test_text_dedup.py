@@ -173,3 +173,34 @@ def test_items_in_blocks(spark, monkeypatch, count, size):
     docs = [(k, " ".join(words(50)) + " " + items[k][1]) for k in range(10)]
     got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(k, k) for k in range(10)}
+
+
+def test_halves_of_windows_leave_out_anchors_that_only_repeat_alone():
+    r = np.random.default_rng(4)
+    text = lambda n: r.integers(97, 123, n, dtype=np.uint8)
+    phrase, passage = text(60), text(410)
+    alone = [np.concatenate([text(500), phrase, text(500)]) for _ in range(2)]
+    whole = [np.concatenate([text(k), passage, text(k)]) for k in (0, 333)]
+    kept = []
+    for pair in (alone, whole):
+        sides = []
+        for raw in pair:
+            at, h = suffix_dedup.anchors(raw)
+            sides.append({(x, side, y) for x, *both in zip(h.tolist(), *(d.tolist() for d in suffix_dedup.half_digests(raw, at)), strict=True) for side, y in enumerate(both) if y >= 0})
+        kept.append(sides[0] & sides[1])
+    assert not kept[0] and kept[1]
+
+
+def test_shuffles_of_written_tables_go_at_once(spark, tmp_path):
+    from vertexloom.plans.runtime import Scratch
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    spark.range(1000).repartition(7, "id").write.mode("overwrite").parquet(str(tmp_path / "plain"))
+    assert shuffled() - before  # a plain write leaves them
+    before = shuffled()
+    Scratch(spark, "files").put(spark.range(1000).repartition(7, "id"))
+    assert not shuffled() - before
