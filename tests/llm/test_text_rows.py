@@ -7,7 +7,7 @@ import helpers
 import numpy as np
 import pytest
 
-from vertexloom.llm import bpe, license_scan, pii, queries, url_filter
+from vertexloom.llm import bpe, common, license_scan, pii, queries, url_filter
 
 VOCABULARY = queries.tokenizer_path()
 rng = random.Random(6)
@@ -232,3 +232,16 @@ def test_licenses_by_document_and_line(spark):
     assert [g for g in got if g[0] == 3] == [(3, "document", 0, "MIT")] * 2
     assert (1, "document", 0, "MIT") in got and {g[0] for g in got} == {1, 2, 3}
     assert license_scan.scan(df.where("false")).count() == 0
+
+
+def test_functions_get_texts_in_pieces(spark):
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "rows": [len(pdf)] * len(pdf), "size": [len(t or "") for t in pdf["_t"]]})
+
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else "x" * (k % 13)) for k in range(2500)], "id long, text string").coalesce(1)
+    got = sorted(map(tuple, common.over_rows(df, {"id": "id"}, "text", run, "rows int, size int").collect()))
+    assert max(r[1] for r in got) == common.PIECE
+    assert [(r[0], r[2]) for r in got] == [(k, 0 if k % 7 == 0 else k % 13) for k in range(2500)]
