@@ -204,3 +204,16 @@ def test_shuffles_of_written_tables_go_at_once(spark, tmp_path):
     before = shuffled()
     Scratch(spark, "files").put(spark.range(1000).repartition(7, "id"))
     assert not shuffled() - before
+
+
+def test_passages_of_over_fifty_words_are_removed_from_400_bytes_on(spark):
+    short, long = (" ".join(f"{x}{k:02}" for k in range(57)) for x in ("kkkk", "rrrr"))
+    passages = [short + "x", long + "xy", " ".join(f"\u00e9\u00e9{k:02}" for k in range(60))]
+    assert [len(x.encode()) for x in passages] == [399, 400, 419] and all(len(x.split()) > 50 for x in passages)
+    texts = [" ".join(words(40)) + x.join(ends) + " ".join(words(40)) for x in passages for ends in ("AB", "CD")]
+    texts += [" ".join(words(120)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_spans(df).collect()}
+    assert [got[k]["n_removed"] for k in range(8)] == [0, 0, 400, 400, 419, 419, 0, 0]
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert [tuple(got[k][c] for c in columns) for k in range(8)] == helpers.repeated_bytes(texts, 400)
