@@ -319,6 +319,22 @@ def test_queries_side_by_side_find_what_they_find_alone(monkeypatch):
         assert limits[j] == pytest.approx(exact[best[-1]] if len(best) == 10 else 0.0)
 
 
+def test_candidates_stay_few_however_many_shards(spark, monkeypatch):
+    from vertexloom.plans.runtime import Scratch
+
+    assert bm25.phases(1) == [(0, 1)] and bm25.phases(6) == [(0, 6)] and bm25.phases(69) == [(0, 4), (4, 16), (16, 69)]
+    monkeypatch.setattr(bm25, "SHARD", 10)
+    made, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, *a, **b: (made.append(out := put(self, df, *a, **b)), out)[1])
+    counted, drop = [], Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, *f: (counted.extend(x.count() for x in made if "_n" in x.columns and "_s" in x.columns), drop(self, *f))[1])
+    docs = spark.createDataFrame([(k, " ".join(plain(40))) for k in range(500)], "doc_id long, text string")
+    asked = docs.where("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text as query")
+    assert bm25.top_k(docs, asked, 10).count() == 250
+    # 50 shards in as many tasks at most: ten of each would be 500 a query
+    assert 10 * 25 <= sum(counted) < 150 * 25
+
+
 def test_search_over_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, query string")
