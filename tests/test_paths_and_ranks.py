@@ -61,3 +61,18 @@ def test_neighbourhood_function_grows_and_settles(graph):
     pairs = [r["pairs"] for r in diameter.neighbourhood_function(graph(edges), 10).orderBy("hop").collect()]
     assert pairs == sorted(pairs) and pairs[6] == pairs[10]
     assert 1 <= diameter.approx_diameter(graph(edges)) <= 7
+
+
+def test_growth_that_does_not_end_gives_no_diameter(spark, graph):
+    assert diameter.approx_diameter(graph([], [])) is None
+    path = [(k, k + 1) for k in range(6)]
+    both = graph(path + [(b, a) for a, b in path])
+    assert diameter.approx_diameter(both, max_hops=2) is None
+    assert 1 <= diameter.approx_diameter(both) <= 7
+
+
+def test_growth_of_exactly_the_tolerance_goes_on_as_in_sql():
+    import duckdb
+
+    for before, after in ((10_000, 10_001), (10_000, 10_000), (30_010_000, 30_013_001), (2_260_000, 2_260_226), (123_450_000, 123_462_345)):
+        assert diameter._settled(before, after, 1e-4) == duckdb.sql(f"SELECT {after}::BIGINT < {before}::BIGINT * 1.0001").fetchall()[0][0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ def _pairs(k: int):
 def neighbourhood_function(graph: Graph, max_hops: int = 13, k: int = 10, seed: int = 0, tol: float | None = None) -> DataFrame:
     """(hop, pairs): estimated pairs of vertices within so many hops, masks flowing along edges.
 
-    With ``tol`` the run ends at the first hop whose relative growth is below it.
+    With ``tol`` the run ends at the first hop whose relative growth is below it, and
+    without vertices at once.
     """
     scratch = Scratch(graph.spark, "hops")
     masks = [f"b{j}" for j in range(k)]
@@ -39,13 +42,20 @@ def neighbourhood_function(graph: Graph, max_hops: int = 13, k: int = 10, seed:
         scratch.drop(state)
         state = after
         counts.append((hop, seen.get["pairs"] or 0))
-        if tol is not None and counts[-1][1] < counts[-2][1] * (1 + tol):
+        if tol is not None and (_settled(counts[-2][1], counts[-1][1], tol) or not counts[-1][1]):
             break
     scratch.drop(state)
     edges.drop()
     return graph.spark.createDataFrame(counts, "hop int, pairs long")
 
 
-def approx_diameter(graph: Graph, tol: float = 1e-4, max_hops: int = 1000, k: int = 10, seed: int = 0) -> int:
-    """The first hop whose growth is below ``tol``."""
-    return neighbourhood_function(graph, max_hops, k, seed, tol).agg(F.max("hop")).first()[0]
+def _settled(before: int, after: int, tol: float) -> bool:
+    """Whether growth is below ``tol``, by the decimal number that it is written as."""
+    return after < before * (1 + Decimal(str(tol)))
+
+
+def approx_diameter(graph: Graph, tol: float = 1e-4, max_hops: int = 1000, k: int = 10, seed: int = 0) -> int | None:
+    """The first hop whose growth is below ``tol``; None if there is none up to ``max_hops``, as in a graph without vertices."""
+    counts = dict(neighbourhood_function(graph, max_hops, k, seed, tol).collect())
+    last = max(counts)
+    return last if last and _settled(counts[last - 1], counts[last], tol) else None
